@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,35 +19,63 @@ from quillsift.llm.common import NUMBER_ROWS, batches_of, cut
 CAPACITY, END, TOKENIZER = 2_048, 0, "word_bpe_49k.json"
 #: Pieces that one packer places, at most; it leaves about one sequence that could be fuller.
 GROUP = 20_000
-#: Entries of a worker's table from text between blanks to ids; it is emptied when full.
+#: Entries of a worker's tables from parts of texts to ids; a table is emptied when full.
 CACHE = 400_000
+#: What most parts between blanks look like: letters with signs before and after.
+PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
 
 
-def tokenizer(name: str = TOKENIZER) -> Callable[[str], np.ndarray]:
-    """Text to ids. Special tokens' strings in a text are ordinary text.
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    return [chr(rest.get(b, b)) for b in range(256)]
+
 
-    The tokenizer drops white space and never joins across it, so ids of the parts between blanks and line ends, which
-    repeat, are kept; only new parts are encoded.
+class Ids(dict):
+    """Parts of texts to their ids, as little-endian 32-bit numbers; what is missing is encoded.
+
+    The tokenizer drops white space and never joins across it, so parts between blanks can be encoded one by one, and
+    as they repeat, mostly looked up. Of a part of Latin letters with signs around, letters and signs are tokens of
+    their own that only need lower case, which goes straight to the merges; any other part takes the tokenizer's whole
+    way. Special tokens' strings in a text are ordinary text.
     """
-    from tokenizers import Tokenizer
-
-    model, known = Tokenizer.from_file(public_tokenizers.path(name)), {"": b""}
-    model.encode_special_tokens = True
-
-    def encode(text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        new = [x for x in dict.fromkeys(parts) if x not in known]
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                known[""] = b""
-                new = list(dict.fromkeys(x for x in parts if x))
-            for k in range(0, len(new), 1024):
-                some = new[k : k + 1024]
-                known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(some, add_special_tokens=False)), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
-
-    return encode
+
+    def __init__(self, name: str):
+        from tokenizers import Tokenizer
+
+        super().__init__({"": b""})
+        self.whole = Tokenizer.from_file(public_tokenizers.path(name))
+        self.whole.encode_special_tokens = True
+        self.merges, self.runs, self.letters = self.whole.model, {"": b""}, byte_letters()
+
+    def run(self, run: str) -> bytes:
+        """Ids of letters alone or signs alone."""
+        ids = self.runs.get(run)
+        if ids is None:
+            if len(self.runs) > CACHE:
+                self.runs = {"": b""}
+            shown = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
+            ids = self.runs[run] = array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+        return ids
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+            self[""] = b""
+        match = PLAIN.fullmatch(part)
+        if match and (not match[2] or match[2].isalpha() and max(match[2]) < "\u0130"):
+            ids = self.run(match[1]) + self.run(match[2].lower()) + self.run(match[3])
+        else:
+            ids = array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
+        self[part] = ids
+        return ids
+
+
+def tokenizer(name: str = TOKENIZER) -> Callable[[str], np.ndarray]:
+    """Text to ids."""
+    known = Ids(name)
+    return lambda text: np.frombuffer(b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
 def pieces(capacity: int, name: str, keep_ids: bool):
