@@ -31,6 +31,11 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus")), fields)
 
 
+def of_field(number: int):
+    """A token with the number of its field."""
+    return lambda token: F.struct(token.alias("term"), F.lit(number).alias("field"))
+
+
 def build_index(docs: DataFrame, fields: dict[str, Column], id_col: str = "doc_id") -> Index:
     """Index of docs' fields (text columns by name). Both sides of a search use one tokeniser, of a-z and 0-9.
 
@@ -39,7 +44,7 @@ def build_index(docs: DataFrame, fields: dict[str, Column], id_col: str = "doc_i
     names = tuple(fields)
     read = docs.select(F.col(id_col).alias("doc_id"), *(X.ascii_tokens(c).alias(f) for f, c in fields.items()))
     read = read.withColumn("len", sum((F.size(f) for f in names), F.lit(0)))
-    marked = F.flatten(F.array(*(F.transform(F.col(f), lambda t, k=k: F.struct(t.alias("term"), F.lit(k).alias("field"))) for k, f in enumerate(names))))
+    marked = F.flatten(F.array(*(F.transform(F.col(f), of_field(k)) for k, f in enumerate(names))))
     tokens = read.select("doc_id", "len", F.explode(marked).alias("token")).select("doc_id", "len", "token.*")
     postings = tokens.groupBy("term", "doc_id", "len").agg(*(F.count(F.when(F.col("field") == k, 1)).alias(f"tf_{f}") for k, f in enumerate(names)))
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), read.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")), names)
@@ -49,7 +54,8 @@ def bm25(index: Index, queries: DataFrame, weights: dict[str, float | Column] |
     """(query_id, doc_id, score) for every document that holds a term of a query, in any field.
 
     queries: query_id, terms (array of distinct terms). weights: by field, numbers, or columns of queries. Equi-joins on
-    the term alone; the few query terms are joined to their statistics first, so postings meet them once.
+    the term alone; the few query terms are joined to their statistics first, so postings meet them once. Scores are
+    rounded to nine places, so that equal documents tie in whatever order their terms are summed.
     """
     weights = weights or V.FIELD_WEIGHTS
     named = {f: w if isinstance(w, Column) else F.lit(float(w)) for f, w in weights.items()}
@@ -59,7 +65,7 @@ def bm25(index: Index, queries: DataFrame, weights: dict[str, float | Column] |
     hit = known.join(index.postings, "term")
     tf = sum((F.col(f"w_{f}") * F.col(f"tf_{f}") for f in index.fields), F.lit(0.0))
     part = F.col("idf") * tf * (V.K1 + 1) / (tf + V.K1 * (1 - V.B + V.B * F.col("len") / F.col("avg_len")))
-    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
 
 
 def ranked(scored: DataFrame, most: int, *ties: Column | str) -> DataFrame:

@@ -12,11 +12,12 @@ SCENARIOS = (("buying", 0.40), ("browsing", 0.40), ("intent_override", 0.15), ("
 
 
 def valid(recommended: DataFrame, catalog: DataFrame, top: int = 10) -> DataFrame:
-    """query_id, doc_id, rank (from 1): the first `top` distinct ids that the catalog has, trimmed, in order of position."""
+    """query_id, doc_id, rank (from 1): the first `top` distinct ids that the catalog has, trimmed, in order of position
+    (of equal positions by id)."""
     rows = recommended.select("query_id", "position", F.btrim(F.col("doc_id").cast("string")).alias("doc_id")).where("doc_id <> ''")
     known = rows.join(catalog.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
     first = known.groupBy("query_id", "doc_id").agg(F.min("position").alias("position"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("rank") <= top).select("query_id", "doc_id", "rank")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("position", "doc_id"))).where(F.col("rank") <= top).select("query_id", "doc_id", "rank")
 
 
 def eligible(products: DataFrame, *excluded: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillsift.functions import text as X
 from quillsift.operators import clarify, compat, dense, fusion, lexical, rerank
 from quillsift.operators.lexical import Index
+from quillsift.plans.lineage import settled
 from quillsift.sources import config
 
 FIELDS = ("title", "categories", "features", "description", "store", "details")
@@ -29,6 +31,13 @@ class Engine:
     index: Index
     encoded: DataFrame | None = None
     settings: dict = field(default_factory=config.load)
+    #: Applied to what several later steps read: settled() where turns follow one another, else nothing.
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df
+
+    def loop(self) -> Engine:
+        """The same engine with all that every turn reads computed once."""
+        index = Index(settled(self.index.postings), settled(self.index.terms), settled(self.index.corpus), self.index.fields)
+        return Engine(settled(self.products), index, self.encoded, self.settings, settled)
 
     def lexical(self, sessions: DataFrame) -> DataFrame:
         """Candidates by BM25 and, if set, by what the session knows."""
@@ -48,7 +57,7 @@ class Engine:
         sessions: as turn() takes them, with `vector`, or `identity` and `attribute`, if there are encoded products. Only
         queries behind the gate meet the vectors.
         """
-        s, found = self.settings, self.lexical(sessions)
+        s, found = self.settings, self.keep(self.lexical(sessions))
         if self.encoded is None or not s["use_dense"]:
             return found
         trust = fusion.confidence(found)
@@ -80,7 +89,7 @@ class Engine:
         sessions: query_id, query, track, slots, confidence, slot_turns, negative, no_preference, asked, tags, turn. The
         question looks at all retrieved candidates, the ranking at the first of them.
         """
-        s, found = self.settings, self.retrieve(sessions)
+        s, found = self.settings, self.keep(self.retrieve(sessions))
         pool = found.join(self.products.select("doc_id", "attrs"), "doc_id").select("query_id", "doc_id", "attrs")
         asked = clarify.ask(sessions, pool, s["entropy_tau"], s["use_early_stop"], s["use_dynamic_entropy"], s["min_pool_for_dynamic"])
         shown = rerank.rerank(found, self.products, sessions, s, top) if s["use_features"] else found.where(F.col("rank") < top).select("query_id", "doc_id", "rank", "score")

@@ -107,11 +107,12 @@ def play(engine: Engine, samples: DataFrame, catalog: DataFrame, turns: int = me
     One batch of all sessions that go on is answered in each turn; between turns lineage is cut. samples: as shoppers()
     takes them, sample_id text. catalog: the products with the fields that shoppers look at.
     """
+    engine = engine.loop()
     going = settled(shoppers(samples, catalog).withColumn("state", F.lit(None).cast("string")))
     shown_before = None
     for turn in range(1, turns + 1):
         stepped = settled(step_all(going, engine.settings))
-        sessions = stepped.join(going.select("sample_id", "tags"), "sample_id").withColumnRenamed("sample_id", "query_id")
+        sessions = settled(stepped.join(going.select("sample_id", "tags"), "sample_id").withColumnRenamed("sample_id", "query_id"))
         shown, asked = engine.turn(sessions, top)
         shown = settled(shown.select(F.col("query_id").alias("sample_id"), F.lit(turn).alias("turn"), "doc_id", (F.col("rank") + 1).alias("rank")))
         shown_before = shown if shown_before is None else shown_before.unionByName(shown)
