@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names, or for tests one of its own."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        known = spark.sparkContext.getCheckpointDir()
+    return known
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df, written to the shared folder and read from there.
+
+    A table rather than a checkpoint: that would hand its constraints on, and they multiply from one turn of a loop to
+    the next.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes the files of settled tables that nothing reads any more."""
+    for table in tables:
+        for file in table.inputFiles():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("settled-"):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+                break

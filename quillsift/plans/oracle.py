@@ -115,12 +115,16 @@ SQL["token_sets"] = f"""SELECT p.p_partkey, count(DISTINCT CASE WHEN length(t) >
 FROM part p LEFT JOIN (SELECT p_partkey, unnest({words(ALL_TEXT)}) AS t FROM part) x ON x.p_partkey = p.p_partkey GROUP BY p.p_partkey"""
 
 
+#: Before and after a word; \\b would not see letters beyond ASCII.
+BEFORE, AFTER = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
+
+
 def named(attribute: str, column: str) -> str:
-    return f"nullif(lower(regexp_extract({column}, '(?i)\\b({V.CATALOG_VALUES[attribute]})\\b', 1)), '')"
+    return f"nullif(lower(regexp_extract({column}, '(?i){BEFORE}({V.CATALOG_VALUES[attribute]}){AFTER}', 1)), '')"
 
 
 def sized(column: str) -> str:
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract({column}, '(?i){p}', 1), '')" for p in V.SIZE_PATTERNS) + ")"
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({column}, '(?i){BEFORE}{p[2:-2]}{AFTER}', 1), '')" for p in V.SIZE_PATTERNS) + ")"
 
 
 def bucket(column: str) -> str:

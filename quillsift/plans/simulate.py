@@ -13,7 +13,7 @@ from quillsift.functions import dialogue as D
 from quillsift.functions import vocabulary as V
 from quillsift.functions.session import close, new_state, step
 from quillsift.operators import metrics
-from quillsift.plans.lineage import settled
+from quillsift.plans.lineage import forget, settled
 from quillsift.plans.search import Engine
 
 SESSION = (
@@ -123,14 +123,16 @@ def play(engine: Engine, samples: DataFrame, catalog: DataFrame, turns: int = me
         kept = going.drop("state").join(hit, "sample_id", "left_anti").join(stepped.select("sample_id", "state"), "sample_id")
         kept = kept.join(asked.select(F.col("query_id").alias("sample_id"), "ask"), "sample_id", "left").join(first, "sample_id", "left")
         kept = settled(reply(kept, turn))
+        before = going, stepped, sessions, kept
         going = settled(kept.drop("state", "message", "ask", "top").withColumnRenamed("next", "message").join(close_all(kept), "sample_id"))
+        forget(going.sparkSession, *before)
         if going.isEmpty():
             break
     return shown_before
 
 
-def evaluate(engine: Engine, samples: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+def evaluate(engine: Engine, samples: DataFrame, catalog: DataFrame, turns: int = metrics.TURNS) -> tuple[DataFrame, DataFrame]:
     """Outcomes of all sessions, and their summary overall and by scenario."""
     credit = F.when(F.col("scenario_type") == "intent_override", F.coalesce("override_turn", F.lit(3))).otherwise(1)
-    sessions = settled(metrics.outcomes(play(engine, samples, catalog), samples.withColumn("credit_from", credit)))
+    sessions = settled(metrics.outcomes(play(engine, samples, catalog, turns), samples.withColumn("credit_from", credit)))
     return sessions, metrics.summary(sessions)
