@@ -25,15 +25,15 @@ def outcomes(recommended: DataFrame, samples: DataFrame, turns: int = TURNS, top
 
 
 def efficiency(mttc: Column) -> Column:
-    """1 for a hit in the first turn, 0 for none in ten."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (11.0 - mttc) / 10.0))
+    """1 for a hit in the first turn, 0 for none in ten; null for no sessions."""
+    return F.when(mttc.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (11.0 - mttc) / 10.0)))
 
 
 def summary(sessions: DataFrame, by_scenario: bool = True) -> DataFrame:
     """scenario_type (null: all), sample_count, hit_rate_at_10, mrr, mttc, efficiency, score.
 
-    Rates are rounded to six places before efficiency and score follow from them. Without sessions there is one row, with
-    no mttc, efficiency or score.
+    Rates are rounded to six places before efficiency and score follow from them. Without sessions, by scenario there is
+    no row, and otherwise one with no mttc, efficiency or score.
     """
     turn = F.coalesce("first_hit_turn", F.lit(MISSED))
     measures = (
