@@ -27,9 +27,9 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(~bad & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def units(raw: list[bytes]) -> np.ndarray:
-    """Vectors of one length, each divided by its norm, in double precision. Scaling first keeps squares finite."""
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def units(raw: list[bytes], kind: type) -> np.ndarray:
+    """Vectors of one length and kind, each divided by its norm, in double precision. Scaling first keeps squares finite."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -39,24 +39,24 @@ def planes(size: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, size])).standard_normal((size, tables * bits))
 
 
-def sign(tables: int, bits: int, seed: int):
+def sign(tables: int, bits: int, seed: int, kind: type):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             size = batch["embedding"].map(len)
             for d in sorted(size.unique()):
                 part = batch[size == d]
-                vector = [np.asarray(v, np.float64).tobytes() for v in part["embedding"]]
+                vector = [np.asarray(v, kind).tobytes() for v in part["embedding"]]
                 if d not in drawn:
                     drawn[d] = planes(d, tables, bits, seed)
-                on = (units(vector) @ drawn[d] > 0).reshape(len(part), tables, bits)
+                on = (units(vector, kind) @ drawn[d] > 0).reshape(len(part), tables, bits)
                 signs = on @ (1 << np.arange(bits))
-                yield pd.DataFrame({"node": part["node"], "label": part["label"], "size": d, "mult": part["mult"], "vector": vector, "signs": list(signs.astype(np.int32))})
+                yield pd.DataFrame({"node": part["node"], "label": part["label"], "size": d, "mult": part["mult"], "vector": vector, "signs": [x.tobytes() for x in signs.astype(np.int32)]})
 
     return run
 
 
-def compare_units(cosine: float):
+def compare_units(cosine: float, kind: type):
     def links(table: int, own: tuple, guests: tuple | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Linked pairs of own and guests (None: inside own) that no earlier table has brought together."""
         (node, mult, x, signs), (node2, mult2, y, signs2) = own, guests or own
@@ -94,14 +94,15 @@ def compare_units(cosine: float):
 
         def work(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             node, mult, chunk = rows["node"].to_numpy(), rows["mult"].to_numpy(np.float64), rows["chunk"].to_numpy()
-            keys, signs, raw = rows[key].to_numpy(), np.stack(rows["signs"].to_numpy()), list(rows["vector"])
-            x = units(raw) if len(set(map(len, raw))) == 1 else None
+            keys, raw = rows[key].to_numpy(), list(rows["vector"])
+            signs = np.frombuffer(b"".join(rows["signs"]), np.int32).reshape(len(raw), -1)
+            x = units(raw, kind) if len(set(map(len, raw))) == 1 else None
             bounds = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for lo, hi in zip([0, *bounds], [*bounds, len(keys)], strict=True):
                 if hi - lo < 2:
                     continue
                 table, home, other = keys[lo, 0], keys[lo, 4], keys[lo, 5]
-                y = units(raw[lo:hi]) if x is None else x[lo:hi]
+                y = units(raw[lo:hi], kind) if x is None else x[lo:hi]
                 whole = node[lo:hi], mult[lo:hi], y, signs[lo:hi]
                 if home == other:
                     own, guests = whole, None
@@ -146,12 +147,15 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     """
     spark = vectors.sparkSession
     batches_of(spark, 4_096)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    kind = np.float32 if single else np.float64  # as they come, so that no more is shuffled; cosines are in double precision
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("embedding"), F.col(label_col).alias("label"))
     rows = rows.withColumn("ok", usable(F.col("embedding")) & F.col("label").isNotNull()).withColumn("hash", F.xxhash64("label", "embedding"))
     distinct = rows.where("ok").groupBy("hash", "label", "embedding").agg(F.count("*").alias("mult"), F.min("id").alias("first"))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    signed = cut(nodes.select("node", "label", "mult", "embedding").mapInPandas(sign(tables, bits, seed), f"node long, label {dict(rows.dtypes)['label']}, size int, mult long, vector binary, signs array<int>"))
-    met = signed.select("node", "label", "size", F.posexplode("signs").alias("table", "sign"))
+    signed = cut(nodes.select("node", "label", "mult", "embedding").mapInPandas(sign(tables, bits, seed, kind), f"node long, label {dict(rows.dtypes)['label']}, size int, mult long, vector binary, signs binary"))
+    met = signed.select("node", "label", "size", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"), "signs")
+    met = met.select("node", "label", "size", "table", F.substring("signs", 4 * F.col("table") + 1, F.lit(4)).alias("sign"))
     bucket = ["table", "label", "size", "sign"]
     full = met.groupBy(bucket).count().where("count > 1").select(*bucket, F.ceil(F.col("count") / side).cast("int").alias("slices"))
     dealt = met.join(full, bucket).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
@@ -160,7 +164,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     dealt = dealt.join(signed.select("node", "mult", "vector", "signs"), "node")
     unit = [*bucket, "home", "other"]
     batches_of(spark, 2_048)
-    found = cut(dealt.repartition(*unit).sortWithinPartitions(*unit).mapInPandas(compare_units(cosine), "link boolean, a long, b long"))
+    found = cut(dealt.repartition(*unit).sortWithinPartitions(*unit).mapInPandas(compare_units(cosine, kind), "link boolean, a long, b long"))
     sums = found.where("not link").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     label = connected_components(found.where("link").select("a", "b"))
     known = nodes.join(sums, "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
