@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.text import blank
 from quillsift.operators.lexical import ranked
+from quillsift.session import plain_unions
 
 #: Queries whose vectors one pass over the documents holds; more are searched in further passes.
 BLOCK = 4_096
@@ -26,6 +27,7 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int = 100, block: int = BLOCK)
     """
     from pyspark.sql.types import StructField, StructType
 
+    plain_unions(docs.sparkSession)
     rows = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     n = rows.count()
     parts = max(1, -(-n // block))

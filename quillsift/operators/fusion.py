@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.text import blank
 from quillsift.operators.lexical import ranked
+from quillsift.session import plain_unions
 
 RRF_K = 60
 
@@ -49,6 +50,7 @@ def fuse(lexical: DataFrame, dense: DataFrame, weights: DataFrame | tuple[float,
     weights: two numbers, or (query_id, lexical_weight, dense_weight). One union and one aggregation; of equal scores
     those of the lexical list come first, in its order.
     """
+    plain_unions(lexical.sparkSession)
     sides = lexical.select("query_id", "doc_id", F.col("rank").alias("l"), F.lit(None).cast("int").alias("d")).unionByName(dense.select("query_id", "doc_id", F.lit(None).cast("int").alias("l"), F.col("rank").alias("d")))
     both = sides.groupBy("query_id", "doc_id").agg(F.min("l").alias("l"), F.min("d").alias("d"))
     if isinstance(weights, DataFrame):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import text as X
 from quillsift.functions import vocabulary as V
+from quillsift.session import plain_unions
 
 
 @dataclass(frozen=True)
@@ -36,16 +37,19 @@ def of_field(number: int):
     return lambda token: F.struct(token.alias("term"), F.lit(number).alias("field"))
 
 
-def build_index(docs: DataFrame, fields: dict[str, Column], id_col: str = "doc_id") -> Index:
+def build_index(docs: DataFrame, fields: dict[str, Column], id_col: str = "doc_id", terms: DataFrame | None = None) -> Index:
     """Index of docs' fields (text columns by name). Both sides of a search use one tokeniser, of a-z and 0-9.
 
-    A document's length counts the tokens of all fields. Documents without tokens count in the corpus.
+    A document's length counts the tokens of all fields. Documents without tokens count in the corpus. With `terms`
+    (term), for a batch of queries known beforehand, only their postings are made; lengths and the corpus stay whole.
     """
     names = tuple(fields)
     read = docs.select(F.col(id_col).alias("doc_id"), *(X.ascii_tokens(c).alias(f) for f, c in fields.items()))
     read = read.withColumn("len", sum((F.size(f) for f in names), F.lit(0)))
     marked = F.flatten(F.array(*(F.transform(F.col(f), of_field(k)) for k, f in enumerate(names))))
     tokens = read.select("doc_id", "len", F.explode(marked).alias("token")).select("doc_id", "len", "token.*")
+    if terms is not None:
+        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
     postings = tokens.groupBy("term", "doc_id", "len").agg(*(F.count(F.when(F.col("field") == k, 1)).alias(f"tf_{f}") for k, f in enumerate(names)))
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), read.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")), names)
 
@@ -109,6 +113,7 @@ def search(index: Index, products: DataFrame, queries: DataFrame, weights: dict[
     Three times as many as asked for are ranked first; the buying track filters these by slots, and then they are cut,
     to `keep` if something ranks them again.
     """
+    plain_unions(products.sparkSession)
     pool = ranked(bm25(index, queries, weights), 3 * top_k)
     side = queries.select("query_id", "track", F.col("slots")["category"].alias("category"), F.col("slots")["budget"].alias("budget"))
     rows = pool.join(side, "query_id").join(products.select("doc_id", "categories", "price"), "doc_id")

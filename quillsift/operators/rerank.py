@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import text as X
 from quillsift.operators.compat import compatibility
+from quillsift.session import plain_unions
 
 #: Candidates that are reranked, those returned, and the most that relevance may weigh against diversity.
 POOL, TOP, LAMBDA = 20, 10, 0.70
@@ -150,6 +151,7 @@ def model_order(pool: DataFrame, prompt: Column, model: Callable[[str], list[str
                 out += [(query, str(d), p) for p, d in enumerate(named)] if isinstance(named, list) else []
             yield pd.DataFrame(out, columns=["query_id", "named", "position"]).astype({"query_id": batch["query_id"].dtype})
 
+    plain_unions(pool.sparkSession)
     prompts = pool.groupBy("query_id").agg(prompt.alias("prompt"))
     order = prompts.mapInPandas(run, f"query_id {dict(pool.dtypes)['query_id']}, named string, position long")
     order = order.select("query_id", F.col("named").cast(dict(pool.dtypes)["doc_id"]).alias("doc_id"), "position")

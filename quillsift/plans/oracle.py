@@ -320,6 +320,14 @@ def greedy(k: int) -> str:
 ROUNDED = "rel0 AS (SELECT query_id, doc_id, rank, score, tokens, round(relevance, 6) AS relevance FROM relx)"
 SQL["mmr_topk"] = f"WITH {pool(20)}, {static('pool').replace('rel AS', 'relx AS', 1)}, {ROUNDED.replace('rel0', 'rel')}, {greedy(3)} " + " UNION ALL ".join(f"SELECT query_id, doc_id, {j} AS rank, round(score, 6) AS score FROM pick{j}" for j in range(3))
 SQL["merge_named_order"] = f"""WITH {pool(20)} SELECT query_id, doc_id, new AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 3 = 2 THEN -rank END NULLS LAST, rank) - 1 AS new FROM pool) x WHERE new < 10"""
+BUDGET_ONLY = f"kept AS (SELECT r.*, r.rank AS before_ FROM ranked300 r JOIN {STATE} s ON s.query_id = r.query_id JOIN prod p ON p.doc_id = r.doc_id WHERE try_cast(s.budget AS DOUBLE) IS NULL OR p.price IS NULL OR p.price <= try_cast(s.budget AS DOUBLE))"
+SQL["variant_search"] = f"WITH {PART_BM25}, {ranked('scored', 30, 'ranked300')}, {BUDGET_ONLY}, again AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY before_) - 1 AS rank FROM kept) SELECT query_id, doc_id, rank, round(score, 6) AS score FROM again WHERE rank < 10"
+LATE = "SELECT DISTINCT query_id, CASE (query_id // 100) % 3 WHEN 0 THEN 0.50 WHEN 1 THEN 0.60 ELSE 0.75 END AS lw, CASE (query_id // 100) % 3 WHEN 0 THEN 0.50 WHEN 1 THEN 0.40 ELSE 0.25 END AS dw FROM a WHERE query_id % 200 = 0"
+SQL["variant_fuse"] = f"WITH {LISTS}, {fused(LATE, 20)} {SHOWN} UNION ALL SELECT query_id, doc_id, rank, round(score, 6) AS score FROM a WHERE query_id % 200 <> 0"
+WEAK_TOO = LEFT.replace("s.attribute = 'color')", "s.attribute = 'color') AND NOT (length(a.query_id) % 2 = 1 AND s.attribute = 'size')")
+SQL["variant_ask"] = f"WITH {ATTR_SCORES}, {WEAK_TOO} SELECT query_id, attribute AS ask FROM best"
+SQL["starter_topk"] = SQL["bm25_part_topk"]
+SQL["pass_through_topk"] = SQL["bm25_part_topk"]
 SQL["history_window"] = """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 b AS (SELECT a.conv_id, a.turn, count(p.k) AS n, coalesce(sum(length(p.text)), 0) + greatest(count(p.k) - 1, 0) AS chars FROM t a LEFT JOIN t p ON p.conv_id = a.conv_id AND p.k BETWEEN a.k - 3 AND a.k - 1 AND NOT contains(p.text, ' no ') GROUP BY a.conv_id, a.turn)
 SELECT conv_id, turn, n AS n_useful, CAST(chars AS BIGINT) AS chars FROM b"""

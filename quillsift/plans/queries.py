@@ -12,6 +12,7 @@ from quillsift.functions import text as X
 from quillsift.functions import vocabulary as V
 from quillsift.functions.attributes import attribute_values, price_bucket
 from quillsift.operators import clarify, compat, dense, fusion, lexical, metrics, rerank, selection
+from quillsift.plans import variants
 from quillsift.plans.search import Engine, product_index
 from quillsift.plans.simulate import evaluate
 from quillsift.sources import catalog, config
@@ -71,7 +72,10 @@ def bm25_part_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
-    return lexical.build_index(table(spark, sf_dir, "documents"), {"text": X.blank(F.col("text")), "source": X.blank(F.col("source")), "lang": X.blank(F.col("lang"))}, "doc_id")
+    """Postings of the terms that benchmark texts hold; no others are asked for."""
+    fields = {"text": X.blank(F.col("text")), "source": X.blank(F.col("source")), "lang": X.blank(F.col("lang"))}
+    terms = benchmark_queries(spark, sf_dir).select(F.explode("terms").alias("term"))
+    return lexical.build_index(table(spark, sf_dir, "documents"), fields, "doc_id", terms)
 
 
 DOCUMENT_WEIGHTS = {"text": 6.0, "source": 1.5, "lang": 1.0}
@@ -367,6 +371,41 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(found)
 
 
+@query
+def variant_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best parts as the earlier search finds them: fixed weights, only the budget filters."""
+    products = parts(spark, sf_dir)
+    return shown(variants.search(product_index(products), products, searches(spark), 10))
+
+
+@query
+def variant_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists fused with weights by the number of slots alone."""
+    found, near = lists(spark, sf_dir)
+    n = (F.col("query_id") / 100).cast("int") % 3
+    slots = F.when(n == 0, F.create_map().cast("map<string,string>")).when(n == 1, F.create_map(F.lit("a"), F.lit("x"))).otherwise(F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), F.lit("y")))
+    queries = found.select("query_id").distinct().withColumn("slots", slots).withColumn("track", F.when(F.col("query_id") % 200 == 0, "browsing").otherwise("buying"))
+    return shown(variants.fuse(found, near, queries, 20))
+
+
+@query
+def variant_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the earlier policy asks next: always something."""
+    return variants.ask(asking(spark, sf_dir), attribute_pool(spark, sf_dir))
+
+
+@query
+def starter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best parts of the first baseline."""
+    return shown(variants.starter(product_index(parts(spark, sf_dir)), searches(spark)))
+
+
+@query
+def pass_through_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten candidates of each search as they are."""
+    return shown(variants.pass_through(part_lexical(spark, sf_dir, 50)))
+
+
 @query
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last three turns before each, those with a question mark left out, and how many characters they have."""

@@ -12,6 +12,7 @@ from quillsift.functions import text as X
 from quillsift.operators import clarify, compat, dense, fusion, lexical, rerank
 from quillsift.operators.lexical import Index
 from quillsift.plans.lineage import settled
+from quillsift.session import plain_unions
 from quillsift.sources import config
 
 FIELDS = ("title", "categories", "features", "description", "store", "details")
@@ -57,6 +58,7 @@ class Engine:
         sessions: as turn() takes them, with `vector`, or `identity` and `attribute`, if there are encoded products. Only
         queries behind the gate meet the vectors.
         """
+        plain_unions(sessions.sparkSession)
         s, found = self.settings, self.keep(self.lexical(sessions))
         if self.encoded is None or not s["use_dense"]:
             return found

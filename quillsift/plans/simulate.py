@@ -15,6 +15,7 @@ from quillsift.functions.session import close, new_state, step
 from quillsift.operators import metrics
 from quillsift.plans.lineage import forget, settled
 from quillsift.plans.search import Engine
+from quillsift.session import plain_unions
 
 SESSION = (
     "sample_id string, state string, query string, track string, slots map<string,string>, confidence map<string,double>, slot_turns map<string,int>, "
@@ -107,6 +108,7 @@ def play(engine: Engine, samples: DataFrame, catalog: DataFrame, turns: int = me
     One batch of all sessions that go on is answered in each turn; between turns lineage is cut. samples: as shoppers()
     takes them, sample_id text. catalog: the products with the fields that shoppers look at.
     """
+    plain_unions(samples.sparkSession)
     engine = engine.loop()
     going = settled(shoppers(samples, catalog).withColumn("state", F.lit(None).cast("string")))
     shown_before = None

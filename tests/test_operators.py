@@ -91,6 +91,16 @@ def test_rrf_and_fusion(spark):
     assert order(fusion.fuse(pool(spark, ("L", 1)), pool(spark, ("D", 1)), (0.5, 0.5))) == ["L", "D"]
 
 
+def test_fusion_of_lists_whose_partitions_are_coalesced_apart(spark):
+    """One list comes from a semi-join of few rows, the other from many: their partitions must not be taken for the same."""
+    many = spark.range(20_000).select((F.col("id") % 50).alias("query_id"), F.col("id").alias("doc_id"), F.rand(1).alias("score"))
+    few = spark.range(500).select((F.col("id") % 50).alias("query_id"), F.col("id").alias("doc_id"), F.rand(2).alias("score"))
+    a, b = lexical.ranked(many, 400), lexical.ranked(few, 10)
+    kept = few.select("query_id").where("query_id % 7 = 0").distinct()
+    found = fusion.fuse(a.join(kept, "query_id", "left_semi"), b.join(kept, "query_id", "left_semi"), top_k=1000)
+    assert found.count() == found.select("query_id", "doc_id").distinct().count() == 8 * 400
+
+
 def test_confidence_and_adaptive_weights(spark):
     sharp, flat = (fusion.confidence(pool(spark, ("a", 1.0), ("b", s))).first()["confidence"] for s in (0.1, 0.98))
     assert sharp > flat and fusion.confidence(pool(spark, ("a", 1.0))).first()["confidence"] == 0

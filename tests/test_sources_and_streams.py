@@ -144,3 +144,47 @@ def test_every_query_runs_small(spark):
     """Those with SQL are compared in test_oracle; the rest must give rows."""
     for name in QUERIES.keys() - SQL.keys() - {"simulated_sessions"}:
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_agent_keeps_sessions(spark, lines):
+    from quillsift.plans.agent import Agent
+
+    products = catalog.products(lines)
+    agent = Agent(spark, Engine(products, product_index(products), settings=config.load({"use_dense": False})))
+    agent.reset("a", {"preference_tags": ["warmth"]})
+    first = agent.respond("a", "I'm looking for hats. A key requirement is: wool.")
+    assert set(first) == {"message", "ask_attribute", "recommendations", "usage"} and first["recommendations"][0]["parent_asin"] == "B1"
+    assert agent.sessions["a"][0]["slots"]["material"] == "wool" and len(agent.sessions["a"][0]["history"]) == 1
+    again = agent.respond("unknown", "zzzz")
+    assert again["recommendations"] == [] and "unknown" not in agent.sessions and again["ask_attribute"] in (None, "other")
+
+
+def test_earlier_sessions():
+    from quillsift.plans.variants import run
+
+    last = run(["I'm looking for red shoes. A key requirement is: cotton.", "Actually, ignore my earlier preference. What I need is: leather."])[-1]
+    assert last["slots"] == {"material": "leather"} and last["track"] == "buying"
+
+
+def test_trace_and_comparison(spark, lines):
+    from quillsift.plans.agent import ablation, trace
+
+    products = catalog.products(lines)
+    samples = spark.createDataFrame([("x", "buying", "B0", None, [])], "sample_id string, scenario_type string, target string, override_turn int, tags array<string>")
+    engine, shoppers = Engine(products, product_index(products), settings=config.load({"use_dense": False})), lines.withColumnRenamed("parent_asin", "doc_id")
+    row = trace(engine, samples, shoppers, 1).first()
+    assert row["turn"] == 1 and row["target_rank"] == 1 and row["shown"][0] == "Red Cotton Shirt"
+    assert ablation(engine, samples, shoppers, {"a": {}, "b": {"use_early_stop": False}}, 1)["b"]["hit_rate_at_10"] == 1.0
+
+
+def test_command_line(spark, lines, tmp_path):
+    from quillsift.__main__ import main
+
+    path = tmp_path / "catalog.jsonl"
+    path.write_text("\n".join(json.dumps(x) for x in LINES))
+    main(["index", "--catalog", str(path), "--out", str(tmp_path / "index")])
+    assert spark.read.parquet(str(tmp_path / "index/postings")).count() > 5
+    rows = [("a", "buying", True, 1, 7, 1 / 7), ("b", "buying", False, None, None, 0.0), ("c", "buying", True, 1, 1, 1.0)]
+    store.write_json(spark.createDataFrame(rows, "sample_id string, scenario_type string, hit boolean, first_hit_turn int, best_rank int, reciprocal_rank double"), str(tmp_path / "sessions"))
+    main(["failures", "--catalog", str(tmp_path / "sessions"), "--out", str(tmp_path / "failures")])
+    assert {r["sample_id"]: r["kind"] for r in spark.read.json(str(tmp_path / "failures")).collect()} == {"a": "near miss", "b": "complete miss"}
