@@ -15,8 +15,9 @@ from quillsift.llm.components import connected_components
 #: Pairs with this cosine or more link.
 COSINE = 0.98
 #: Hash tables and sign bits in each. A pair at the threshold meets in a table with probability
-#: (1 - acos(0.98) / pi) ** 12 = 0.453, so it is missed by all 16 with probability 0.00006; closer pairs less often.
-TABLES, BITS, SEED = 16, 12, 20_240_517
+#: (1 - acos(0.98) / pi) ** 16 = 0.348, so it is missed by all 24 with probability 0.00004; closer pairs less often.
+#: With so many bits vectors seldom meet by chance, and only those that meet are shuffled whole.
+TABLES, BITS, SEED = 24, 16, 20_240_517
 #: Most vectors of a bucket that one unit of comparison holds on either side; cosines computed at once.
 SIDE, PAIRS = 2_048, 1 << 20
 
