@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillsift.session import plain_unions
+
 #: The template's control strings. A turn is OPEN role NEWLINE text CLOSE NEWLINE.
 OPEN, CLOSE, NEWLINE = "<|im_start|>", "<|im_end|>", "\n"
 #: Stands for a line end inside a role, where a plain one would end the role.
@@ -73,6 +75,7 @@ def probe(spark: SparkSession) -> DataFrame:
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted examples."""
+    plain_unions(spark)
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(probe(spark))
     examples = format_conversations(turns)
     loss = F.when(F.col("loss_length").isNotNull(), unescaped(F.substring(F.col("formatted"), F.col("loss_start").cast("int") + 1, F.col("loss_length").cast("int"))))

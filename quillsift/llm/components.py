@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import cut
+from quillsift.session import plain_unions
 
 #: Rounds grow with the logarithm of the longest chain; beyond this something is wrong.
 MAX_ROUNDS = 60
@@ -19,6 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     is cut by a checkpoint. Self-links, nulls, repeated and reversed links are allowed; nodes with only a self-link or
     none at all are not returned; no links give no rows.
     """
+    plain_unions(edges.sparkSession)
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):

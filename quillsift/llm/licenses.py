@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import lower_ascii
+from quillsift.session import plain_unions
 
 #: Words in a gram. Templates have GRAM to 64 + GRAM - 1 words, since their positions are bits of a long.
 GRAM = 3
@@ -47,6 +48,7 @@ def positions(spark: SparkSession, base: tuple[tuple[str, str], ...], notices: t
     rows = [(k, label, k < len(base), text.split()) for k, (text, label) in enumerate((*base, *notices))]
     if any(not GRAM <= len(words) < 64 + GRAM for *_, words in rows):
         raise ValueError(f"a template has {GRAM} to {63 + GRAM} words")
+    plain_unions(spark)
     table = spark.createDataFrame(rows, "template int, label string, base boolean, words array<string>")
     grams = table.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - GRAM)).alias("at"))
     grams = grams.select("template", "label", "base", (F.size("words") - GRAM + 1).alias("grams"), "at", F.xxhash64(*gram(F.col("words"), F.col("at"))).alias("gram_hash"), F.array(*gram(F.col("words"), F.col("at"))).alias("gram_words"))

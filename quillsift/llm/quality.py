@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillsift.llm.common import batches_of, fresh
+from quillsift.session import plain_unions
 
 #: Most trusted positives and most unlabelled texts that a model is fitted on; the rows with the smallest hashes.
 POSITIVES, UNLABELLED = 6_000, 12_000
@@ -142,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     batches_of(spark)
+    plain_unions(spark)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("low"), F.max("y").alias("high"))
     ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold(F.col("id")) != HELD_OUT)).distinct().join(known, "id", "left")
     good, rest = ids.agg(F.count(F.when(F.col("low") == 1, 1)), F.count(F.when(F.col("high") != 1, 1))).first()
