@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import batches_of
+from quillsift.llm.common import batches_of, cut
 from quillsift.llm.packing import TOKENIZER, tokenizer
 
 #: Lengths summed up together before these sums are summed up.
@@ -40,7 +40,7 @@ def histogram(lengths: DataFrame, length_col: str = "length") -> DataFrame:
     lengths count as none.
     """
     n = lengths.groupBy(F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("length")).agg(F.count("*").alias("n_docs"))
-    n = n.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    n = cut(n.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK)))  # read twice
     blocks = n.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     above = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
