@@ -95,12 +95,13 @@ def evidence_weight(slots: Column, confidence: Column, negative: Column, most: f
 def rescore(pool: DataFrame, products: DataFrame, sessions: DataFrame, top_k: int = 100, most: float = 0.52) -> DataFrame:
     """pool (query_id, doc_id, rank, score, ...) by score and compatibility together; what it was made of stays.
 
-    Candidates of queries without evidence keep their score and place. Adds lexical_score, compatibility, risk.
+    Candidates of queries without evidence keep their score and place. Scores are rounded to nine places, so that equal
+    products tie. Adds lexical_score, compatibility, risk.
     """
     fit = compatibility(pool, products, sessions)
     weight = sessions.select("query_id", evidence_weight(F.col("slots"), F.col("confidence"), F.col("negative"), most).alias("e"))
     rows = pool.join(fit, ["query_id", "doc_id"], "left").join(weight, "query_id", "left")
     base = F.col("score") / F.coalesce(F.nullif(F.max("score").over(Window.partitionBy("query_id")), F.lit(0.0)), F.lit(1.0))
     new = (1 - F.col("e")) * base + F.col("e") * (F.col("compatibility") - F.col("risk"))
-    rows = rows.withColumn("lexical_score", F.col("score")).withColumn("score", F.when(F.col("compatibility").isNull(), F.col("score")).otherwise(new))
+    rows = rows.withColumn("lexical_score", F.col("score")).withColumn("score", F.round(F.when(F.col("compatibility").isNull(), F.col("score")).otherwise(new), 9))
     return ranked(rows.withColumnRenamed("rank", "before"), top_k, "before").drop("before", "e")

@@ -54,7 +54,7 @@ def features(pool: DataFrame, products: DataFrame, sessions: DataFrame, weights:
 
     Dynamic relevance is score, compatibility, risk and popularity; where nothing is known of a session, as in static
     relevance, slot coverage, category and price closeness take their place only if `dynamic` is off, since a session
-    without evidence fits every product alike.
+    without evidence fits every product alike. Relevance is rounded to nine places, so that equal products tie.
     """
     w = WEIGHTS if weights is None else PARTIAL | weights
     title = X.diversity_tokens(F.concat_ws(" ", "title120", X.joined(F.col("categories"))))
@@ -73,7 +73,7 @@ def features(pool: DataFrame, products: DataFrame, sessions: DataFrame, weights:
         fits = F.coalesce(F.exists("categories", lambda c: F.contains(F.lower(c), F.col("anchor"))), F.lit(False)).cast("double")
         near = closeness(F.col("price"), F.col("budget"))
         relevance = w["base"] * F.col("base") + w["slot"] * coverage(F.col("wanted"), F.col("title_tokens"), F.col("tokens"), field_aware) + w["category"] * fits + w["popularity"] * F.col("popularity") + w["price"] * near
-    return rows.select("query_id", "doc_id", "rank", "score", relevance.alias("relevance"), "tokens")
+    return rows.select("query_id", "doc_id", "rank", "score", F.round(relevance, 9).alias("relevance"), "tokens")
 
 
 def jaccard(a: Column, b: Column) -> Column:

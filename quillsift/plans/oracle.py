@@ -243,13 +243,14 @@ def said() -> str:
     return rows(out, "query_id attribute value strength", "BIGINT VARCHAR VARCHAR DOUBLE")
 
 
-def evidence(source: str) -> str:
-    """CTE evidence: query_id, doc_id, attribute, matched, violated, weight."""
-    return f"""{ATTRS}, {FULL}, m AS (SELECT c.query_id, c.doc_id, x.attribute, x.value, x.strength, CASE WHEN x.value IS NULL THEN 1.0 ELSE {MATCH} END AS matched FROM {source} c JOIN {said()} x ON x.query_id = c.query_id JOIN full_ f ON f.doc_id = c.doc_id),
-    bad AS (SELECT c.query_id, c.doc_id, x.attribute, max({MATCH}) AS violated FROM {source} c JOIN {AGAINST} x ON x.query_id = c.query_id JOIN full_ f ON f.doc_id = c.doc_id GROUP BY c.query_id, c.doc_id, x.attribute),
-    evidence AS (SELECT m.query_id, m.doc_id, m.attribute, m.matched, coalesce(bad.violated, 0.0) AS violated, m.strength * (0.55 + 0.45 * CASE WHEN m.value IS NULL THEN 0.65 ELSE 1 - avg(CASE WHEN m.matched >= 0.60 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY m.query_id, m.attribute) END) AS weight
-      FROM m LEFT JOIN bad ON bad.query_id = m.query_id AND bad.doc_id = m.doc_id AND bad.attribute = m.attribute),
-    compat AS (SELECT query_id, doc_id, sum(weight * matched * (1 - violated)) / sum(weight) AS compatibility, sum(weight * violated) / sum(weight) AS risk FROM evidence GROUP BY query_id, doc_id)"""
+def evidence(source: str, n: str = "") -> str:
+    """CTEs evidence and compat, their names followed by n: query_id, doc_id, attribute, matched, violated, weight."""
+    first = "" if n else f"{ATTRS}, {FULL}, "
+    return f"""{first}m{n} AS (SELECT c.query_id, c.doc_id, x.attribute, x.value, x.strength, CASE WHEN x.value IS NULL THEN 1.0 ELSE {MATCH} END AS matched FROM {source} c JOIN {said()} x ON x.query_id = c.query_id JOIN full_ f ON f.doc_id = c.doc_id),
+    bad{n} AS (SELECT c.query_id, c.doc_id, x.attribute, max({MATCH}) AS violated FROM {source} c JOIN {AGAINST} x ON x.query_id = c.query_id JOIN full_ f ON f.doc_id = c.doc_id GROUP BY c.query_id, c.doc_id, x.attribute),
+    evidence{n} AS (SELECT m.query_id, m.doc_id, m.attribute, m.matched, coalesce(bad.violated, 0.0) AS violated, m.strength * (0.55 + 0.45 * CASE WHEN m.value IS NULL THEN 0.65 ELSE 1 - avg(CASE WHEN m.matched >= 0.60 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY m.query_id, m.attribute) END) AS weight
+      FROM m{n} m LEFT JOIN bad{n} bad ON bad.query_id = m.query_id AND bad.doc_id = m.doc_id AND bad.attribute = m.attribute),
+    compat{n} AS (SELECT query_id, doc_id, sum(weight * matched * (1 - violated)) / sum(weight) AS compatibility, sum(weight * violated) / sum(weight) AS risk FROM evidence{n} GROUP BY query_id, doc_id)"""
 
 
 SQL["attr_match"] = f"WITH {pool(50)}, {evidence('pool')} SELECT query_id, doc_id, attribute, round(matched, 6) AS matched, round(violated, 6) AS violated, round(weight, 6) AS weight FROM evidence"
@@ -258,7 +259,7 @@ E_WEIGHT = rows([(q, min(0.52, 0.18 + 0.10 * (sum(conf.get(s, 0.75) for s in slo
 
 
 def rescored(source: str, name: str = "re") -> str:
-    return f"""{name} AS (SELECT p.query_id, p.doc_id, p.rank AS before_, p.score AS lexical_score, CASE WHEN c.compatibility IS NULL THEN p.score ELSE (1 - w.e) * p.score / coalesce(nullif(max(p.score) OVER (PARTITION BY p.query_id), 0.0), 1.0) + w.e * (c.compatibility - c.risk) END AS score
+    return f"""{name} AS (SELECT p.query_id, p.doc_id, p.rank AS before_, p.score AS lexical_score, round(CASE WHEN c.compatibility IS NULL THEN p.score ELSE (1 - w.e) * p.score / coalesce(nullif(max(p.score) OVER (PARTITION BY p.query_id), 0.0), 1.0) + w.e * (c.compatibility - c.risk) END, 9) AS score
     FROM {source} p LEFT JOIN compat c ON c.query_id = p.query_id AND c.doc_id = p.doc_id LEFT JOIN {E_WEIGHT} w ON w.query_id = p.query_id)"""
 
 
@@ -293,9 +294,9 @@ def static(source: str) -> str:
     FROM {source} r JOIN prod p ON p.doc_id = r.doc_id JOIN {STATE} s ON s.query_id = r.query_id JOIN {cover} v ON v.query_id = r.query_id AND v.doc_id = r.doc_id JOIN {N_SLOT_TOKENS} n ON n.query_id = r.query_id LEFT JOIN {SOLD} o ON o.l_partkey = r.doc_id)"""
 
 
-def dynamic(source: str) -> str:
-    return f"""rel AS (SELECT r.query_id, r.doc_id, r.rank, r.score, {DIVERSE_TOKENS} AS tokens, {BASE} + 1.6 * coalesce(c.compatibility, 0.0) - 1.4 * coalesce(c.risk, 0.0) + 0.15 * {POPULAR} AS relevance
-    FROM {source} r JOIN prod p ON p.doc_id = r.doc_id LEFT JOIN compat c ON c.query_id = r.query_id AND c.doc_id = r.doc_id LEFT JOIN {SOLD} o ON o.l_partkey = r.doc_id)"""
+def dynamic(source: str, n: str = "") -> str:
+    return f"""rel AS (SELECT r.query_id, r.doc_id, r.rank, r.score, {DIVERSE_TOKENS} AS tokens, round({BASE} + 1.6 * coalesce(c.compatibility, 0.0) - 1.4 * coalesce(c.risk, 0.0) + 0.15 * {POPULAR}, 9) AS relevance
+    FROM {source} r JOIN prod p ON p.doc_id = r.doc_id LEFT JOIN compat{n} c ON c.query_id = r.query_id AND c.doc_id = r.doc_id LEFT JOIN {SOLD} o ON o.l_partkey = r.doc_id)"""
 
 
 SQL["feature_score"] = f"WITH {pool(20)}, {static('pool')} SELECT query_id, doc_id, round(relevance, 6) AS relevance FROM rel"
@@ -319,6 +320,13 @@ def greedy(k: int) -> str:
 
 ROUNDED = "rel0 AS (SELECT query_id, doc_id, rank, score, tokens, round(relevance, 6) AS relevance FROM relx)"
 SQL["mmr_topk"] = f"WITH {pool(20)}, {static('pool').replace('rel AS', 'relx AS', 1)}, {ROUNDED.replace('rel0', 'rel')}, {greedy(3)} " + " UNION ALL ".join(f"SELECT query_id, doc_id, {j} AS rank, round(score, 6) AS score FROM pick{j}" for j in range(3))
+PICKED = " UNION ALL ".join(f"SELECT query_id, doc_id, {j} AS rank, round(score, 6) AS score FROM pick{j}" for j in range(10))
+#: From re, the rescored candidates, to the ten that are shown.
+RERANKED = f"{ranked('re', 20, 'head', 'score DESC, before_')}, lifted AS (SELECT * FROM {boosted('head')} b), {evidence('lifted', '2')}, {dynamic('lifted', '2')}, {greedy(10)} {PICKED}"
+SQL["rerank_topk"] = f"WITH {pool(50)}, {evidence('pool')}, {rescored('pool')}, {RERANKED}"
+TRACKED = f"kept2 AS (SELECT k.query_id, k.doc_id, k.rank, k.score FROM kept k JOIN {STATE} s ON s.query_id = k.query_id AND s.track = 'buying' UNION ALL SELECT p.query_id, p.doc_id, p.rank, p.score FROM pool p JOIN {STATE} s ON s.query_id = p.query_id AND s.track <> 'buying')"
+FILTERED = f"{slot_filtered('pool')}, {TRACKED}, cut AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) - 1 AS rank FROM kept2)"
+SQL["hybrid_search"] = f"WITH {DYNAMIC_BM25}, {ranked('scored', 300, 'pool')}, {FILTERED}, {evidence('cut')}, {rescored('cut')}, {RERANKED}"
 SQL["merge_named_order"] = f"""WITH {pool(20)} SELECT query_id, doc_id, new AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 3 = 2 THEN -rank END NULLS LAST, rank) - 1 AS new FROM pool) x WHERE new < 10"""
 BUDGET_ONLY = f"kept AS (SELECT r.*, r.rank AS before_ FROM ranked300 r JOIN {STATE} s ON s.query_id = r.query_id JOIN prod p ON p.doc_id = r.doc_id WHERE try_cast(s.budget AS DOUBLE) IS NULL OR p.price IS NULL OR p.price <= try_cast(s.budget AS DOUBLE))"
 SQL["variant_search"] = f"WITH {PART_BM25}, {ranked('scored', 30, 'ranked300')}, {BUDGET_ONLY}, again AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY before_) - 1 AS rank FROM kept) SELECT query_id, doc_id, rank, round(score, 6) AS score FROM again WHERE rank < 10"
