@@ -30,7 +30,7 @@ class Agent:
         """message, ask_attribute (or None), recommendations (id and score, best first) and usage."""
         settings = self.engine.settings
         state, tags = self.sessions.get(session_id, (new_state(), []))
-        done = step(state, message, settings["use_override_detection"], settings["use_reply_purification"])
+        done = step(state, message, settings["use_override_detection"], settings["use_reply_purification"], settings["override_carryover_confidence"])
         kept = tuple(dict(state[k]) for k in ("slots", "confidence", "slot_turns", "negative"))
         row = (session_id, done["query"], done["track"], *kept, list(state["no_preference"]), list(state["asked"]), tags, done["turn"])
         shown, asked = self.engine.turn(self.spark.createDataFrame([row], KINDS), top_k)

@@ -35,10 +35,13 @@ class Engine:
     #: Applied to what several later steps read: settled() where turns follow one another, else nothing.
     keep: Callable[[DataFrame], DataFrame] = lambda df: df
 
+    #: A function of a prompt that names ids in a better order; none is shipped.
+    model: Callable[[str], list[str] | None] | None = None
+
     def loop(self) -> Engine:
         """The same engine with all that every turn reads computed once."""
         index = Index(settled(self.index.postings), settled(self.index.terms), settled(self.index.corpus), self.index.fields)
-        return Engine(settled(self.products), index, self.encoded, self.settings, settled)
+        return Engine(settled(self.products), index, self.encoded, self.settings, settled, self.model)
 
     def lexical(self, sessions: DataFrame) -> DataFrame:
         """Candidates by BM25 and, if set, by what the session knows."""
@@ -94,5 +97,22 @@ class Engine:
         s, found = self.settings, self.keep(self.retrieve(sessions))
         pool = found.join(self.products.select("doc_id", "attrs"), "doc_id").select("query_id", "doc_id", "attrs")
         asked = clarify.ask(sessions, pool, s["entropy_tau"], s["use_early_stop"], s["use_dynamic_entropy"], s["min_pool_for_dynamic"])
-        shown = rerank.rerank(found, self.products, sessions, s, top) if s["use_features"] else found.where(F.col("rank") < top).select("query_id", "doc_id", "rank", "score")
+        if self.model is not None:
+            return self.by_model(found, sessions, top), asked
+        shown = self.local(found, sessions, top)
         return shown, asked
+
+    def local(self, found: DataFrame, sessions: DataFrame, top: int) -> DataFrame:
+        s = self.settings
+        return rerank.rerank(found, self.products, sessions, s, top) if s["use_features"] else found.where(F.col("rank") < top).select("query_id", "doc_id", "rank", "score")
+
+    def by_model(self, found: DataFrame, sessions: DataFrame, top: int) -> DataFrame:
+        """The first candidates, fewer while little is known, in the model's order; where it gives none, as local() ranks."""
+        s = self.settings
+        head = clarify.truncated(found, sessions, s["few_slots_threshold"], s["pool_size_threshold"], s["truncated_size"]).where(F.col("rank") < s["rerank_top_n"])
+        head = self.keep(head.select("query_id", "doc_id", "rank", "score"))
+        named = head.join(self.products.select("doc_id", "title120"), "doc_id").join(sessions.select("query_id", F.to_json("slots").alias("slots")), "query_id")
+        line = lambda x: F.concat(x["doc_id"].cast("string"), F.lit(": "), F.substring(x["title120"], 1, 80))
+        prompt = F.concat(F.lit("Known: "), F.first("slots"), F.lit("\nProducts:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "title120"))), line), "\n"))
+        fallback = lambda rest: self.local(rest.select("query_id", "doc_id", "rank", "score"), sessions, top)
+        return rerank.model_order(named, prompt, self.model, top, fallback)

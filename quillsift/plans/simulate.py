@@ -72,14 +72,14 @@ def reply(rows: DataFrame, turn: int) -> DataFrame:
 
 def step_all(rows: DataFrame, settings: dict) -> DataFrame:
     """Each session's state (text) after its message, with what the turn searches with; one row a session, so no shuffle."""
-    detection, purification = settings["use_override_detection"], settings["use_reply_purification"]
+    how = settings["use_override_detection"], settings["use_reply_purification"], settings["override_carryover_confidence"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for sample, text, message in zip(batch["sample_id"], batch["state"], batch["message"], strict=True):
                 state = json.loads(text) if text else new_state()
-                done = step(state, message, detection, purification)
+                done = step(state, message, *how)
                 kept = {k: dict(state[k]) for k in ("slots", "confidence", "slot_turns", "negative")}
                 out.append({"sample_id": sample, "state": json.dumps(state), "query": done["query"], "track": done["track"], **kept, "no_preference": state["no_preference"], "asked": state["asked"], "turn": done["turn"]})
             yield pd.DataFrame(out, columns=["sample_id", "state", "query", "track", "slots", "confidence", "slot_turns", "negative", "no_preference", "asked", "turn"])

@@ -159,6 +159,18 @@ def test_agent_keeps_sessions(spark, lines):
     assert again["recommendations"] == [] and "unknown" not in agent.sessions and again["ask_attribute"] in (None, "other")
 
 
+def test_model_in_a_turn(spark, lines):
+    from quillsift.plans.agent import Agent
+
+    products = catalog.products(lines)
+    said = []
+    for model, first in ((lambda prompt: ["B1"] if "Red Cotton" in prompt and 'cotton' in prompt else None, "B1"), (lambda prompt: said.missing, "B0")):
+        agent = Agent(spark, Engine(products, product_index(products), settings=config.load({"use_dense": False}), model=model))
+        agent.reset("a")
+        got = agent.respond("a", "red cotton shirt, or a blue hat; wool")
+        assert got["recommendations"][0]["parent_asin"] == first and len(got["recommendations"]) == 2
+
+
 def test_earlier_sessions():
     from quillsift.plans.variants import run
 
