@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A paragraph is a line; longer lines are cut into parts of so many code points.
 PARAGRAPH = 512
+#: Parts of a line have at least and at most so many code points, a line's last one may have fewer. Between these they end at the
+#: first place that the content sets: a blank after some letters, a sign, some characters in long runs without blanks, the line's end.
+PART = 24, 64
+PLACE = r"(?:(?<=[aeost][ \t])|(?<=[.,;:!?/\u3001\u3002\uff0c\uff01\uff1f])|(?<=[^ \t\n]{16}[aeiou0-3])|(?![^\n]))"
+PARTS = rf"[^\n]{{{PART[0]},{PART[1]}}}?{PLACE}|[^\n]{{1,{PART[1]}}}"
 #: Digests of both versions together in one group of cells, about. Each group is a sketch of its own.
 LOAD = 10
 #: Cells in each of a sketch's three tables, and peeling steps: tried in turn, the next when one fails.
@@ -15,9 +22,14 @@ SIZES = ((8, 18), (24, 30), (96, 45), (400, 60))
 BUCKET, MOST_BUCKETS = 2_000, 1 << 17
 
 
-def digests(text: Column) -> Column:
-    """Distinct 64-bit digests of a text's paragraphs; empty lines are none."""
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\\n]{{1,{PARAGRAPH}}}"), F.lit(0))
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def digests(text: Column, pattern: str = f"[^\\n]{{1,{PARAGRAPH}}}") -> Column:
+    """Distinct 64-bit digests of a text's paragraphs, or of what pattern finds; empty lines are none."""
+    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
@@ -38,12 +50,12 @@ def sketch(keys: Column, cells: int) -> Column:
     """3 * cells cells, each the number of its digests, and the exclusive-or of these and of their checksums."""
     known = F.transform(keys, lambda x: F.struct(x.alias("x"), checksum(x).alias("c"), *(cell_of(x, t, cells).alias(f"t{t}") for t in range(3))))
 
-    def one(i: Column) -> Column:
-        here = F.filter(known, lambda x: (x["t0"] == i) | (x["t1"] + cells == i) | (x["t2"] + 2 * cells == i))
+    def table(known: Column, t: int) -> Column:
         none = cell(F.lit(0), F.lit(0), F.lit(0))
-        return F.aggregate(here, none, lambda a, x: cell(a["count"] + 1, a["key"].bitwiseXOR(x["x"]), a["check"].bitwiseXOR(x["c"])))
+        here = lambda i: F.filter(known, lambda x: x[f"t{t}"] == i)
+        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: F.aggregate(here(i), none, lambda a, x: cell(a["count"] + 1, a["key"].bitwiseXOR(x["x"]), a["check"].bitwiseXOR(x["c"]))))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), one)
+    return bound(known, lambda k: F.concat(*(table(k, t) for t in range(3))))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -92,9 +104,10 @@ def difference(a: Column, b: Column, sizes: tuple[tuple[int, int], ...] = SIZES,
     Digests are dealt by their remainder to groups of about `load`, so that a sketch stays small however long the texts
     are; both versions use the same groups. A group that cannot be peeled is sketched again, larger.
     """
+    part = lambda keys, g, n: F.filter(keys, lambda x: F.pmod(x, n) == g)
+    group = lambda g, n: bound(F.struct(part(a, g, n).alias("a"), part(b, g, n).alias("b")), lambda p: recovered(p["a"], p["b"], sizes))
     groups = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / load)).cast("long")
-    part = lambda keys, g: F.filter(keys, lambda x: F.pmod(x, groups) == g)
-    return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: recovered(part(a, g), part(b, g), sizes)))
+    return F.flatten(bound(groups, lambda n: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda g: group(g, n))))
 
 
 def likeness(a: Column, b: Column, different: Column) -> Column:
@@ -148,12 +161,13 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_changed: one row for each row of docs.
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_changed, parts_edited, parts_next, n_changed_parts: one row for each row of docs.
 
     The edited text has its last half, rounded down, replaced by the first as many code points of the next document.
     near_* are the shares of paragraph digests that two texts have in common, from the differing digests that peeling
-    their subtracted sketches recovers; n_changed is their number between a text and its edited text. Equal texts have
-    equal fingerprints; of a text, paragraphs that repeat and their order do not count. Null texts are read as empty,
+    their subtracted sketches recovers; n_changed is their number between a text and its edited text.
+    parts_* and n_changed_parts are the same over short parts of lines that end where the content says, so that what an
+    edit leaves alone counts as shared also within a line. Equal texts have equal fingerprints; of a text, paragraphs that repeat and their order do not count. Null texts are read as empty,
     which are alike (1). Rows that share an id follow each other by text; a null id comes first. A single document is
     its own next. An empty table gives no rows; other columns are not read.
     """
@@ -161,9 +175,13 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chars = F.length("text")
     half = F.floor(chars / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.col("next"), F.lit(1), half)))
-    made = rows.select(F.col("id"), chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("new"), digests(F.col("next")).alias("other"))
-    known = made.select("*", F.size(difference(F.col("own"), F.col("new"))).alias("n_changed"), F.size(difference(F.col("own"), F.col("other"))).alias("n_other"))
+    versions = {"own": F.col("text"), "new": F.col("edited"), "other": F.col("next")}
+    made = rows.select(F.col("id"), chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(digests(v).alias(k) for k, v in versions.items()), *(digests(v, PARTS).alias(f"{k}_parts") for k, v in versions.items()))
+    compared = {"n_changed": ("own", "new"), "n_other": ("own", "other"), "n_changed_parts": ("own_parts", "new_parts"), "n_other_parts": ("own_parts", "other_parts")}
+    known = made.select("*", *(F.size(difference(F.col(a), F.col(b))).alias(k) for k, (a, b) in compared.items()))
+    alike = {k: likeness(F.col(a), F.col(b), F.col(k)) for k, (a, b) in compared.items()}
     return known.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new"), F.col("n_changed")).alias("near_edited"), likeness(F.col("own"), F.col("other"), F.col("n_other")).alias("near_next"), F.col("n_changed").cast("long").alias("n_changed"),
+        alike["n_changed"].alias("near_edited"), alike["n_other"].alias("near_next"), F.col("n_changed").cast("long").alias("n_changed"),
+        alike["n_changed_parts"].alias("parts_edited"), alike["n_other_parts"].alias("parts_next"), F.col("n_changed_parts").cast("long").alias("n_changed_parts"),
     )

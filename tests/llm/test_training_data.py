@@ -441,6 +441,39 @@ def test_fingerprints_odd_rows(spark, odd):
     assert compare_versions(odd.limit(0)).count() == 0
 
 
+def parts(text):
+    from quillsift.llm.sketches import PARTS
+
+    return set(re.findall(PARTS, text))
+
+
+def test_parts_within_lines_against_sets(spark, texts):
+    from quillsift.llm.sketches import op8_document_fingerprints
+
+    ids, kept = sorted(texts), 0
+    rows = {r["doc_id"]: r for r in op8_document_fingerprints(spark, SF).collect()}
+    for k, doc in enumerate(ids):
+        text, other, row = texts[doc], texts[ids[(k + 1) % len(ids)]], rows[doc]
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        assert row["parts_edited"] == pytest.approx(jaccard(parts(text), parts(edited)))
+        assert row["parts_next"] == pytest.approx(jaccard(parts(text), parts(other)))
+        assert row["n_changed_parts"] == len(parts(text) ^ parts(edited))
+        kept += row["near_edited"] == 0 < row["parts_edited"]
+    assert kept > 0
+
+
+def test_untouched_halves_of_single_lines_share_parts(spark):
+    from quillsift.llm.sketches import PARTS, compare_versions, digests
+
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghinorst", k=rng.randint(2, 9))) for _ in range(n))
+    texts = [line(n) for n in (30, 60, 120, 400, 2000)] + ["".join(rng.choices("0123456789abcdef", k=900))]
+    rows = compare_versions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["parts_edited"] > 0.15 and r["parts_next"] < 0.05 for r in rows)
+    pairs = spark.createDataFrame([(t, t[:5] + "~" + t[5:]) for t in texts[3:]], "a string, b string").select(digests(F.col("a"), PARTS).alias("a"), digests(F.col("b"), PARTS).alias("b")).collect()
+    assert all(jaccard(set(r["a"]), set(r["b"])) > 0.5 for r in pairs)
+
+
 # 9: vectors
 
 
