@@ -575,9 +575,9 @@ def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def simulated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty simulated shoppers of parts, each to the hit or the fifth turn, summed up."""
+    """Forty simulated shoppers of parts, each to the hit or the last of ten turns, summed up."""
     products = parts(spark, sf_dir)
     samples = selection.unseen_samples(products, 40, 20_260_830).withColumn("tags", F.array(F.lit("comfort")))
     engine = Engine(products, product_index(products), settings=config.load({"use_dense": False}))
-    _, summary = evaluate(engine, samples, with_features(spark, sf_dir), turns=5)
+    _, summary = evaluate(engine, samples, with_features(spark, sf_dir))
     return summary

@@ -140,6 +140,37 @@ def test_simulation_ends_at_hits(spark, lines):
     assert outcomes.where("hit").count() == 2 and summary.where("scenario_type = 'overall'").first()["hit_rate_at_10"] == 1.0
 
 
+def test_simulated_sessions_play_ten_turns(spark, monkeypatch):
+    """The registered query against a loop over its samples, with an engine that shows other parts in each turn."""
+    from quillsift.operators import selection
+    from quillsift.plans import queries
+
+    class Paged:
+        def __init__(self, products, index, settings):
+            self.settings = settings
+
+        def loop(self):
+            return self
+
+        def turn(self, sessions, top):
+            shown = sessions.select("query_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(top - 1))).alias("rank"))
+            shown = shown.select("query_id", (F.col("turn") * 20 - 19 + F.col("rank")).cast("long").alias("doc_id"), "rank", F.lit(0.0).alias("score"))
+            return shown, sessions.select("query_id", F.lit("other").alias("ask"))
+
+    monkeypatch.setattr(queries, "Engine", Paged)
+    sf = "/root/testdata/sf0.001"
+    got = queries.simulated_sessions(spark, sf).where("scenario_type = 'overall'").first()
+    hits = []
+    for sample in selection.unseen_samples(queries.parts(spark, sf), 40, 20_260_830).collect():
+        credit = 1 if sample["scenario_type"] != "intent_override" else sample["override_turn"] or 3
+        found = [(turn, rank) for turn in range(1, 11) for rank in range(1, 11) if turn >= credit and 20 * turn - 20 + rank == sample["target"]]
+        hits.append(found[0] if found else (11, None))
+    assert any(5 < turn < 11 for turn, _ in hits) and got["sample_count"] == len(hits)
+    assert got["hit_rate_at_10"] == pytest.approx(sum(r is not None for _, r in hits) / len(hits), abs=1e-6)
+    assert got["mrr"] == pytest.approx(sum(1 / r for _, r in hits if r) / len(hits), abs=1e-6)
+    assert got["mttc"] == pytest.approx(sum(turn for turn, _ in hits) / len(hits), abs=1e-6)
+
+
 def test_every_query_runs_small(spark):
     """Those with SQL are compared in test_oracle; the rest must give rows."""
     for name in QUERIES.keys() - SQL.keys() - {"simulated_sessions"}:
