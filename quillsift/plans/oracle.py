@@ -172,6 +172,8 @@ SQL["attr_entropy"] = f"WITH {ATTR_SCORES} SELECT query_id, attribute, n, round(
 SQL["normalized_entropy"] = f"SELECT user_id, n, round(entropy, 6) AS entropy FROM {entropies('events', 'user_id', 'event_type')} e"
 FEW = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) f WHERE k <= user_id % 15)"
 SQL["blended_entropy"] = f"SELECT user_id, n, round({blend('n', 'entropy', '0.73')}, 6) AS entropy FROM {entropies(FEW + ' g', 'user_id', 'event_type')} e"
+DAYS = "(SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events)"
+SQL["blended_entropy_by_day"] = f"SELECT user_id, day, n, round({blend('n', 'entropy', '0.73')}, 6) AS entropy FROM {entropies(DAYS + ' g', 'user_id, day', 'event_type')} e"
 LEFT = f"""asking AS (SELECT DISTINCT p_type AS query_id FROM part), left_ AS (SELECT a.query_id, s.attribute, s.ord, s.score FROM asking a JOIN scores s ON s.query_id = a.query_id
 WHERE NOT (length(a.query_id) % 2 = 0 AND s.attribute = 'color') AND NOT (length(a.query_id) % 3 = 0 AND s.attribute = 'size')),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS k FROM left_) x WHERE k = 1)"""

@@ -200,6 +200,14 @@ def blended_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "n", six(clarify.blended(F.col("n"), F.col("entropy"), F.lit(0.73))).alias("entropy"))
 
 
+@query
+def blended_entropy_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of all of each user's events of a day, blended with a fixed one where they are few."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    found = clarify.entropies(events, ["user_id", "day"], "event_type")
+    return found.select("user_id", "day", "n", six(clarify.blended(F.col("n"), F.col("entropy"), F.lit(0.73))).alias("entropy"))
+
+
 def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session for each type of part, in which the question of its length is known or asked already."""
     types = table(spark, sf_dir, "part").select(F.col("p_type").alias("query_id")).distinct()

@@ -39,5 +39,12 @@ def test_query_matches_sql(spark, duck, name):
     assert got == want
 
 
+def test_blended_entropy_by_day_reads_every_event(spark):
+    rows = entry.queries()["blended_entropy_by_day"](spark, SF).collect()
+    events = spark.read.parquet(f"{SF}/events.parquet").where("event_type is not null")
+    assert sum(r["n"] for r in rows) == events.count() and {r["user_id"] for r in rows} == {r["user_id"] for r in events.select("user_id").distinct().collect()}
+    assert any(r["n"] < 10 for r in rows)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
