@@ -566,11 +566,12 @@ MESSAGES = [
 
 
 def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation with eight fixed messages, beginning at one that depends on it."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    listed = F.lit(MESSAGES)
-    each = turns.select("conv_id", F.posexplode(F.sequence(F.lit(0), F.lit(len(MESSAGES) - 1))).alias("turn", "k"))
-    return each.select(F.col("conv_id").cast("string").alias("session_id"), "turn", F.get(listed, (F.col("k") + F.col("conv_id")).cast("int") % len(MESSAGES)).alias("message"))
+    """What users say in every conversation, and beside them eight sessions of eight fixed messages, each beginning at another."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'")
+    said = said.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("session_id"), F.col("turn").cast("long").alias("turn"), F.col("text").alias("message"))
+    n = len(MESSAGES)
+    fixed = [(f"fixed-{s}", k, MESSAGES[(k + s) % n]) for s in range(n) for k in range(n)]
+    return said.unionByName(spark.createDataFrame(fixed, "session_id string, turn long, message string"))
 
 
 @query

@@ -171,6 +171,21 @@ def test_simulated_sessions_play_ten_turns(spark, monkeypatch):
     assert got["mttc"] == pytest.approx(sum(turn for turn, _ in hits) / len(hits), abs=1e-6)
 
 
+def test_session_fold_folds_what_users_say(spark):
+    from quillsift.functions.session import new_state
+    from quillsift.plans.queries import MESSAGES
+    from quillsift.streaming.sessions import advance
+
+    said = {f"fixed-{s}": [MESSAGES[(k + s) % 8] for k in range(8)] for s in range(8)}
+    for r in sorted(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").where("role = 'user'").collect(), key=lambda r: (r["turn"], r["text"])):
+        said.setdefault(str(r["conv_id"]), []).append(r["text"])
+    got = {}
+    for r in QUERIES["session_fold"](spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r["session_id"], []).append((r["turn"], r["track"], r["query"]))
+    want = {s: [(r["turn"], r["track"], r["query"]) for r in advance(s, new_state(), iter(texts))] for s, texts in said.items()}
+    assert {s: sorted(rows) for s, rows in got.items()} == {s: sorted(rows) for s, rows in want.items()}
+
+
 def test_every_query_runs_small(spark):
     """Those with SQL are compared in test_oracle; the rest must give rows."""
     for name in QUERIES.keys() - SQL.keys() - {"simulated_sessions"}:
