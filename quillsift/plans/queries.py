@@ -490,7 +490,7 @@ def valid_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def eligible_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with a name and a type that no urgent order and no open line has."""
+    """Parts with a name and a type, without those on line 1 of an urgent order or on a returned line 2; other lines exclude none."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     urgent = lines.join(orders.where("o_orderpriority = '1-URGENT'"), lines["l_orderkey"] == orders["o_orderkey"], "left_semi").where("l_linenumber = 1").select(F.col("l_partkey").alias("doc_id"))
     returned = lines.where("l_returnflag = 'R' and l_linenumber = 2").select(F.col("l_partkey").alias("doc_id"))
