@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillsift.llm.common import cut
+from quillsift.session import plain_unions
+
 #: A paragraph is a line; longer lines are cut into parts of so many code points.
 PARAGRAPH = 512
 #: Parts of a line have at least and at most so many code points, a line's last one may have fewer. Between these they end at the
@@ -14,12 +18,18 @@ PARAGRAPH = 512
 PART = 24, 64
 PLACE = r"(?:(?<=[aeost][ \t])|(?<=[.,;:!?/\u3001\u3002\uff0c\uff01\uff1f])|(?<=[^ \t\n]{16}[aeiou0-3])|(?![^\n]))"
 PARTS = rf"[^\n]{{{PART[0]},{PART[1]}}}?{PLACE}|[^\n]{{1,{PART[1]}}}"
-#: Digests of both versions together in one group of cells, about. Each group is a sketch of its own.
+#: Cells for each digest in each of a sketch's three tables, rounded up to a power of two, and rounds of peeling, a table each.
+CELLS, ROUNDS = 8, 6
+#: A retry's sketches are small ones, for digests of both versions together in one group, about so many.
 LOAD = 10
-#: Cells in each of a sketch's three tables, and peeling steps: tried in turn, the next when one fails.
+#: Cells in each of such a sketch's three tables, and peeling steps: tried in turn, the next when one fails.
 SIZES = ((8, 18), (24, 30), (96, 45), (400, 60))
-#: Documents whose texts are sorted together to find each one's next, and most such buckets.
-BUCKET, MOST_BUCKETS = 2_000, 1 << 17
+#: Documents sorted together to find each one's next, most such buckets, and the sampled ids for each bucket's border.
+BUCKET, MOST_BUCKETS, SAMPLED = 500, 1 << 16, 4
+#: Code points that order texts of one id before a hash does, and characters of text in one partition, about.
+HEAD, PARTITION_CHARS = 32, 4_000_000
+#: Most partitions that texts are dealt to.
+MOST_PARTITIONS = 1 << 17
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -98,60 +108,252 @@ def recovered(a: Column, b: Column, sizes: tuple[tuple[int, int], ...]) -> Colum
     return F.coalesce(*attempts)
 
 
+def deal(keys: Column, bits: Column) -> Column:
+    """2 ** bits arrays, the digests by their leading bits: one sort, with a mark before each group, and a slice for each group."""
+    half = F.call_function("shiftleft", F.lit(1).cast("long"), (bits - 1).cast("int"))
+    first = F.transform(F.sequence(-half, half - 1), lambda g: F.struct(F.call_function("shiftleft", g, (64 - bits).cast("int")).alias("x"), F.lit(0).alias("own")))
+
+    def cut_up(dealt: Column) -> Column:
+        marks = F.filter(F.transform(dealt, lambda x, i: F.when(x["own"] == 0, i)), lambda i: i.isNotNull())
+        return bound(marks, lambda m: F.transform(m, lambda i, g: F.transform(F.slice(dealt, i + 2, F.coalesce(F.get(m, g + 1), F.size(dealt)) - i - 1), lambda x: x["x"])))
+
+    dealt = F.array_sort(F.concat(first, F.transform(keys, lambda x: F.struct(x.alias("x"), F.lit(1).alias("own")))))
+    return F.when(bits < 1, F.array(keys)).otherwise(bound(dealt, cut_up))
+
+
+def only_in_one(a: Column, b: Column) -> Column:
+    """What peeling recovers, by comparing the digests themselves: where no sketch can be peeled."""
+    mark = lambda x, y, sign: F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("digest"), F.lit(sign).alias("sign")))
+    return F.concat(mark(a, b, 1), mark(b, a, -1))
+
+
 def difference(a: Column, b: Column, sizes: tuple[tuple[int, int], ...] = SIZES, load: int = LOAD) -> Column:
     """Digests in only one of the arrays a and b, with sign 1 (in a) or -1, recovered from sketches of both.
 
-    Digests are dealt by their remainder to groups of about `load`, so that a sketch stays small however long the texts
-    are; both versions use the same groups. A group that cannot be peeled is sketched again, larger.
+    Digests are dealt by their leading bits to groups of about `load`, so that a sketch stays small however long the
+    texts are; both versions use the same groups. A group that cannot be peeled is sketched again, larger, and after the
+    largest size compared as it is, so the result is never null.
     """
-    part = lambda keys, g, n: F.filter(keys, lambda x: F.pmod(x, n) == g)
-    group = lambda g, n: bound(F.struct(part(a, g, n).alias("a"), part(b, g, n).alias("b")), lambda p: recovered(p["a"], p["b"], sizes))
-    groups = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / load)).cast("long")
-    return F.flatten(bound(groups, lambda n: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda g: group(g, n))))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2((F.size(a) + F.size(b)) / F.lit(float(load))))).cast("int")
+    whole = lambda p: F.coalesce(recovered(p["a"], p["b"], sizes), only_in_one(p["a"], p["b"]))
+    return F.flatten(bound(F.coalesce(bits, F.lit(0)), lambda n: F.transform(F.arrays_zip(deal(a, n).alias("a"), deal(b, n).alias("b")), whole)))
+
+
+# Sketches of whole tables: a row for each cell that is not empty
 
 
-def likeness(a: Column, b: Column, different: Column) -> Column:
-    """Shared share of all digests of two sets, given how many are in one alone; 1 if both are empty."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, 1.0).otherwise((both - different) / (both + different))
+#: What a cell's slot tells beside its place: the comparison, the kind of digests, the table (RESULT: none) and the size's bits.
+LINES, SHORT, OWN_PRINT, NEW_PRINT = range(4)
+RESULT, CELL_BITS = 3, 48
 
 
-def fingerprint(keys: Column) -> Column:
-    """32 hex digits that stand for a version's sketch of the smallest size."""
-    cells = sketch(keys, SIZES[0][0])
-    return F.aggregate(F.array(cells), F.lit(""), lambda _, c: F.lower(F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), c)), 16, "0"))))
+def slot_of(comparison: Column | int, kind: Column | int, table: Column | int, bits: Column | int, place: Column) -> Column:
+    fields = [x if isinstance(x, Column) else F.lit(x) for x in (comparison, kind, table, bits)]
+    head = ((fields[0] * 4 + fields[1]) * 4 + fields[2]) * 64 + fields[3]
+    return F.shiftleft(head.cast("long"), CELL_BITS).bitwiseOR(place)
+
+
+def field(slot: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(slot, low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def place(digest: Column, table: int, bits: Column) -> Column:
+    """A digest's cell in one of the tables of 2 ** bits cells: a larger sketch's folds into a smaller one's."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")) - 1
+    return F.xxhash64(digest, F.lit(table)).bitwiseAND(mask)
+
+
+def size_bits(digests_: Column, cells: int) -> Column:
+    """Bits of a sketch's size, from the number of its digests alone."""
+    return F.ceil(F.log2(F.greatest(F.size(digests_), F.lit(1)) * F.lit(float(cells)))).cast("int")
+
+
+def peel_cells(cells: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """keys, slot, n, key, check: what is left of subtracted cells after peeling, and in table RESULT what was recovered.
+
+    Each round looks at one table, in turn, where a digest has one cell alone: a cell that holds a single digest gives it
+    up, and it leaves its cells of the other two tables. Cells are added up by keys and slot, without a shuffle if the
+    rows are partitioned by some of the keys already. RESULT has the number of digests recovered, at place 0 those of
+    the first version, at place 1 those of the second.
+    """
+    for k in range(rounds):
+        t = k % 3
+        slot, bits = F.col("slot"), field(F.col("slot"), CELL_BITS, 6)
+        single = (field(slot, CELL_BITS + 6, 2) == t) & (F.abs("n") == 1) & (F.xxhash64("key", F.lit(97)) == F.col("check"))
+        upper = F.shiftrightunsigned(slot, CELL_BITS + 8) * 256
+        at = lambda table, where: F.shiftleft(upper + table * 64 + bits, CELL_BITS).bitwiseOR(where)  # noqa: E731, B023
+        made = lambda s, n, key, check: F.struct(s.alias("slot"), n.alias("n"), key.alias("key"), check.alias("check"))
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        gone = [made(at(o, place(F.col("key"), o, bits)), -F.col("n"), F.col("key"), F.col("check")) for o in range(3) if o != t]
+        found = F.array(made(at(RESULT, F.when(F.col("n") > 0, none).otherwise(one)), one, none, none), *gone)
+        each = cells.select(*keys, F.explode(F.when(single, found).otherwise(F.array(made(slot, F.col("n"), F.col("key"), F.col("check"))))).alias("c")).select(*keys, "c.*")
+        cells = each.groupBy(*keys, "slot").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
+        cells = cells.where("n <> 0 or key <> 0 or check <> 0")
+    return cells
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = PARTS, cells: int = CELLS) -> DataFrame:
+    """id, bits, n_digests, cells: a sketch of each row of docs, to be kept and compared with those of later versions.
+
+    cells: array of (tab, place, n, key, check), the cells that are not empty of three tables of 2 ** bits cells each;
+    the size follows from the text's own number of digests. Null and empty texts have no cells. Rows that share an id
+    are sketched each by itself. An empty table gives no rows; other columns are not read.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), digests(F.col(text_col), pattern).alias("digests"))
+    rows = rows.select("row", "id", "digests", size_bits(F.col("digests"), cells).alias("bits"), F.size("digests").alias("n_digests"))
+    each = rows.select("row", "id", "bits", "n_digests", F.explode_outer("digests").alias("digest"))
+    table = each.select("row", "id", "bits", "n_digests", "digest", F.explode(F.array(*(F.struct(F.lit(t).alias("tab"), place(F.col("digest"), t, F.col("bits")).alias("place")) for t in range(3)))).alias("at"))
+    added = table.groupBy("row", "id", "bits", "n_digests", "at").agg(F.count("digest").alias("n"), F.bit_xor("digest").alias("key"), F.bit_xor(F.when(F.col("digest").isNotNull(), F.xxhash64("digest", F.lit(97)))).alias("check"))
+    full = F.collect_list(F.when(F.col("n") > 0, F.struct("at.tab", "at.place", "n", "key", "check")))
+    return added.groupBy("row", "id", "bits", "n_digests").agg(F.array_sort(full).alias("cells")).select(F.col("id").alias(id_col), "bits", "n_digests", "cells")
+
+
+def compare_sketches(old: DataFrame, new: DataFrame, id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+    """id, only_old, only_new, done: digests in one of two kept sketches of an id alone, for ids (unique) that both tables have.
+
+    The larger sketch is folded to the size of the smaller one and one is subtracted from the other. done is false where
+    too much differs for the size: sketch both texts with more cells then.
+    """
+    plain_unions(old.sparkSession)
+    ids = old.select(F.col(id_col).alias("id"), F.col("bits").alias("a"), F.col("cells").alias("one")).join(new.select(F.col(id_col).alias("id"), F.col("bits").alias("b"), F.col("cells").alias("two")), "id")
+    ids = ids.withColumn("bits", F.least("a", "b"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
+    signed = lambda cells_, sign: F.transform(cells_, lambda c: F.struct(slot_of(0, 0, c["tab"], F.col("bits"), c["place"].bitwiseAND(mask)).alias("slot"), (c["n"] * sign).alias("n"), c["key"].alias("key"), c["check"].alias("check")))
+    each = ids.select("id", F.explode(F.concat(signed(F.col("one"), 1), signed(F.col("two"), -1))).alias("c")).select("id", "c.*")
+    cells = each.groupBy("id", "slot").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check")).where("n <> 0 or key <> 0 or check <> 0")
+    left = peel_cells(cells, ["id"], rounds)
+    result = field(F.col("slot"), CELL_BITS + 6, 2) == RESULT
+    found = left.groupBy("id").agg(*(F.coalesce(F.sum(F.when(result & (F.col("slot").bitwiseAND(F.lit((1 << CELL_BITS) - 1)) == p), F.col("n"))), F.lit(0)).alias(c) for p, c in enumerate(("only_old", "only_new"))), F.count(F.when(~result, 1)).alias("open"))
+    rows = ids.select("id").join(found, "id", "left")
+    return rows.select(F.col("id").alias(id_col), F.coalesce("only_old", F.lit(0)).alias("only_old"), F.coalesce("only_new", F.lit(0)).alias("only_new"), (F.coalesce("open", F.lit(0)) == 0).alias("done"))
+
+
+# Versions of documents
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (id long, text) with the text of the next one in order of id, then text; of the last, that of the first.
+    """docs (id, text) with `next`, the text of the next one in order; of the last, that of the first.
 
-    A null id comes first. Ids are cut into buckets at quantiles, of which the driver sees at most MOST_BUCKETS; a row
-    with a bucket's first id is sent to the bucket before as well, so each bucket finds its last row's next by itself.
+    The order is that of id, null first, then of the text's first HEAD code points, then of a hash of the text. Borders
+    of buckets are taken from a sample of this order, of at most SAMPLED rows for each of at most MOST_BUCKETS, so rows
+    that share an id are split as any others; only rows equal in id and text stay together. A row on a bucket's border is
+    sent to the bucket before as well, so each bucket finds its last row's next by itself. Every text is shuffled once.
+    bucket and row name a row; lines, short and next_short, next_lines are digests of both texts.
     """
-    least = -(1 << 63)
-    ids = F.coalesce(F.col("id"), F.lit(least))
-    n, first = docs.agg(F.count("*"), F.min(ids)).first()
+    spark = docs.sparkSession
+    order = F.struct(F.col("id"), F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash"))
+    n, chars, first = docs.agg(F.count("*"), F.sum(F.length("text")), F.min(order)).first()
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET))
-    cuts = docs.agg(F.percentile_approx(ids, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else []
-    cuts = sorted({c for c in cuts if c > (least if first is None else first)})
-    starts = F.lit(cuts or [1 << 62]).cast("array<long>")
+    kind = docs.select(order.alias("o")).schema["o"].dataType.simpleString()
+    known = []
+    if buckets > 1:
+        sample = docs.select(order.alias("o")).where(F.pmod(F.xxhash64("o"), F.lit(max(1, n // (buckets * SAMPLED)))) == 0).distinct().orderBy("o").collect()
+        known = [r["o"] for r in sample[:: max(1, len(sample) // buckets)]][1:]
+    starts = F.from_json(F.lit(json.dumps([x.asDict() for x in known], default=str)), f"array<{kind}>")
+    lowest = F.from_json(F.lit(json.dumps(first.asDict() if first else None, default=str)), kind)
     at = F.lit(0)
-    if cuts:  # binary search: how many buckets start at or before the id
-        steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    if known:  # binary search: how many buckets start at or before the row
+        steps = [1 << k for k in reversed(range(len(known).bit_length()))]
         at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(F.get(starts, a + s - 1) <= F.col("key"), a + s).otherwise(a))
-    rows = docs.withColumn("key", ids).withColumn("bucket", at)
-    guest = lambda bucket, wrap: F.struct(bucket.alias("bucket"), F.lit(True).alias("guest"), F.lit(wrap).alias("wrap"))
-    places = F.filter(
-        F.array(
-            F.struct(F.col("bucket"), F.lit(False).alias("guest"), F.lit(False).alias("wrap")),
-            F.when((F.col("bucket") > 0) & (F.get(starts, F.col("bucket") - 1) == F.col("key")), guest(F.col("bucket") - 1, False)),
-            F.when(F.col("key") == (least if first is None else first), guest(F.lit(len(cuts)), True)),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    dealt = rows.select("id", "text", "key", F.explode(places).alias("place")).select("id", "text", "key", "place.*").repartition("bucket")
-    order = Window.partitionBy("bucket").orderBy("wrap", "key", "guest", "text")
-    return dealt.withColumn("next", F.lead("text").over(order)).where("not guest").select("id", "text", "next")
+    rows = docs.select("id", "text", order.alias("key")).withColumn("bucket", at)
+    place_ = lambda bucket, guest, wrap: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"), F.lit(wrap).alias("wrap"))
+    places = F.array_compact(F.array(
+        place_(F.col("bucket"), False, False),
+        F.when((F.col("bucket") > 0) & (F.get(starts, F.col("bucket") - 1) == F.col("key")), place_(F.col("bucket") - 1, True, False)),
+        F.when(F.col("key").eqNullSafe(lowest), place_(F.lit(len(known)), True, True)),
+    ))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, (chars or 0) // PARTITION_CHARS))
+    dealt = rows.select("id", "text", "key", digests(F.col("text")).alias("lines"), digests(F.col("text"), PARTS).alias("short"), F.explode(places).alias("place"))
+    dealt = dealt.select("id", "text", "key", "lines", "short", "place.*").repartition(width, "bucket")
+    sort = Window.partitionBy("bucket").orderBy("wrap", "key", "guest")
+    following = dealt.select("*", *(F.lead(c).over(sort).alias(n) for c, n in (("text", "next"), ("lines", "next_lines"), ("short", "next_short"))), F.row_number().over(sort).alias("row"))
+    return following.where("not guest").drop("key", "guest", "wrap")
+
+
+def edit(rows: DataFrame) -> DataFrame:
+    """rows with n_chars and `edited`, the text whose last half, rounded down, is replaced by the first as many code points of the next."""
+    chars = F.length("text")
+    half = F.floor(chars / 2).cast("int")
+    return rows.withColumn("n_chars", chars.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.col("next"), F.lit(1), half)))
+
+
+def subtracted(rows: DataFrame, cells: int) -> DataFrame:
+    """bucket, row, slot, n, key, check: cells of each text's sketch less those of its edited and its next text's sketch.
+
+    Sketches have a size for each version alone; a document's three are compared at the largest of their sizes, which
+    costs nothing, as only cells that are not empty are rows. Cells of the line sketches at their own sizes come along
+    as what the fingerprints are made of.
+    """
+    versions = []
+    for kind, own, new, other in ((LINES, "lines", digests(F.col("edited")), "next_lines"), (SHORT, "short", digests(F.col("edited"), PARTS), "next_short")):
+        versions.append((kind, F.col(own), new, F.col(other)))
+    made = rows.select("bucket", "row", *(c.alias(f"{name}{kind}") for kind, *cs in versions for name, c in zip(("own", "new", "other"), cs, strict=True)))
+    entry = lambda kind, role, bits, source: F.struct(F.lit(kind).alias("kind"), F.lit(role).alias("role"), bits.alias("bits"), F.col(source).alias("digests"))
+    entries = []
+    for kind in (LINES, SHORT):
+        sizes = [size_bits(F.col(f"{name}{kind}"), cells) for name in ("own", "new", "other")]
+        entries += [entry(kind, role, F.greatest(*sizes), f"{name}{kind}") for role, name in enumerate(("own", "new", "other"))]
+        entries += [entry(prints, role, sizes[role], f"{name}{kind}") for prints, role, name in ((OWN_PRINT, 0, "own"), (NEW_PRINT, 1, "new")) if kind == LINES]
+    each = made.select("bucket", "row", F.explode(F.array(*entries)).alias("v")).select("bucket", "row", "v.kind", "v.role", "v.bits", F.explode("v.digests").alias("key"))
+    each = each.select("bucket", "row", "role", "key", F.xxhash64("key", F.lit(97)).alias("check"), F.explode(F.array(*(slot_of(0, F.col("kind"), t, F.col("bits"), place(F.col("key"), t, F.col("bits"))) for t in range(3)))).alias("slot"))
+    none = F.lit(0).cast("long")
+    sums = []
+    for role in range(3):
+        mine = F.col("role") == role
+        sums += [F.sum(F.when(mine, 1).otherwise(0)).alias(f"n{role}"), F.bit_xor(F.when(mine, F.col("key")).otherwise(none)).alias(f"key{role}"), F.bit_xor(F.when(mine, F.col("check")).otherwise(none)).alias(f"check{role}")]
+    sketched = each.groupBy("bucket", "row", "slot").agg(*sums)
+    kind = field(F.col("slot"), CELL_BITS + 8, 2)
+
+    def less(role: int) -> Column:
+        return F.struct(slot_of(role - 1, 0, 0, 0, F.col("slot")).alias("slot"), (F.col("n0") - F.col(f"n{role}")).alias("n"), F.col("key0").bitwiseXOR(F.col(f"key{role}")).alias("key"), F.col("check0").bitwiseXOR(F.col(f"check{role}")).alias("check"))
+
+    # own and edited sketch alone: what tells the version is left out, so that equal sketches give equal prints
+    alone = (F.col("slot").bitwiseAND(F.lit((1 << CELL_BITS + 8) - 1)), F.col("n0") + F.col("n1"), F.col("key0").bitwiseXOR(F.col("key1")), F.col("check0").bitwiseXOR(F.col("check1")))
+    printed = F.struct(slot_of(2, kind, RESULT, 0, none).alias("slot"), F.lit(1).cast("long").alias("n"), F.xxhash64(*alone).alias("key"), F.xxhash64(F.lit(1), *alone).alias("check"))
+    both = F.when(kind < OWN_PRINT, F.array(less(1), less(2))).otherwise(F.array(printed))
+    return sketched.select("bucket", "row", F.explode(both).alias("c")).select("bucket", "row", "c.*").where("n <> 0 or key <> 0 or check <> 0")
+
+
+#: Names of what a comparison with the edited text and with the next text finds in lines and in short parts.
+FOUND = {(0, LINES): "edited_lines", (1, LINES): "next_lines", (0, SHORT): "edited_short", (1, SHORT): "next_short"}
+
+
+def compared(rows: DataFrame, cells: int, rounds: int) -> DataFrame:
+    """bucket, row, id, n_chars, edited_sha256, two fingerprints, n_lines, n_short, and of each of FOUND only_own, only_other and open.
+
+    open: cells that peeling has left; the counts hold where there are none.
+    """
+    rows = edit(rows)
+    left = peel_cells(subtracted(rows, cells), ["bucket", "row"], rounds)
+    slot = F.col("slot")
+    number, at = field(slot, CELL_BITS + 8, 4), slot.bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+    result = field(slot, CELL_BITS + 6, 2) == RESULT
+    sums = []
+    for (comparison, kind), name in FOUND.items():
+        mine = number == comparison * 4 + kind
+        sums += [F.sum(F.when(mine & result & (at == p), F.col("n")).otherwise(0)).alias(f"{name}_{only}") for p, only in enumerate(("own", "other"))]
+        sums.append(F.sum(F.when(mine & ~result, 1).otherwise(0)).alias(f"{name}_open"))
+    for kind in (OWN_PRINT, NEW_PRINT):
+        sums += [F.bit_xor(F.when(number == 8 + kind, F.col(c)).otherwise(F.lit(0).cast("long"))).alias(f"{c}{kind}") for c in ("key", "check")]
+    counts = left.groupBy("bucket", "row").agg(*sums)
+    known = rows.select("bucket", "row", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.size("lines").alias("n_lines"), F.size("short").alias("n_short"))
+    joined = known.join(counts, ["bucket", "row"], "left")
+    print_of = lambda kind: F.lower(F.concat(*(F.lpad(F.hex(F.coalesce(F.col(f"{c}{kind}"), F.lit(0).cast("long"))), 16, "0") for c in ("key", "check"))))
+    numbers = [F.coalesce(F.col(f"{name}_{c}"), F.lit(0).cast("long")).alias(f"{name}_{c}") for name in FOUND.values() for c in ("own", "other", "open")]
+    return joined.select("bucket", "row", "id", "n_chars", "edited_sha256", print_of(OWN_PRINT).alias("fingerprint"), print_of(NEW_PRINT).alias("edited_fingerprint"), "n_lines", "n_short", *numbers)
+
+
+def again(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """compared() for the rows whose peeling failed: by small sketches in groups, larger and larger, which end exactly."""
+    key = ["bucket", "row"]
+    new = {"edited_lines": ("lines", digests(F.col("edited"))), "next_lines": ("lines", F.col("next_lines")), "edited_short": ("short", digests(F.col("edited"), PARTS)), "next_short": ("short", F.col("next_short"))}
+    some = edit(rows).join(failed.select(*key, "fingerprint", "edited_fingerprint"), key)
+    some = some.select(*key, "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.size("lines").alias("n_lines"), F.size("short").alias("n_short"), *(difference(F.col(own), other).alias(name) for name, (own, other) in new.items()))
+    only = lambda name, sign: F.size(F.filter(name, lambda x: x["sign"] == sign)).cast("long")
+    numbers = []
+    for name in FOUND.values():
+        numbers += [only(name, 1).alias(f"{name}_own"), only(name, -1).alias(f"{name}_other"), F.lit(0).cast("long").alias(f"{name}_open")]
+    return some.select(*key, "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "n_lines", "n_short", *numbers)
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,21 +369,30 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near_* are the shares of paragraph digests that two texts have in common, from the differing digests that peeling
     their subtracted sketches recovers; n_changed is their number between a text and its edited text.
     parts_* and n_changed_parts are the same over short parts of lines that end where the content says, so that what an
-    edit leaves alone counts as shared also within a line. Equal texts have equal fingerprints; of a text, paragraphs that repeat and their order do not count. Null texts are read as empty,
-    which are alike (1). Rows that share an id follow each other by text; a null id comes first. A single document is
-    its own next. An empty table gives no rows; other columns are not read.
+    edit leaves alone counts as shared also within a line. A fingerprint is 32 hex digits, made of all cells of a text's
+    sketch. Equal texts have equal fingerprints; of a text, paragraphs that repeat and their order do not count.
+    All work grows in proportion to the texts. Rows whose peeling fails are sketched again, and in the end compared as
+    they are, so no likeness is null.
+
+    Null texts are read as empty, which are alike (1). Rows that share an id follow each other by their first HEAD code
+    points, then by a hash; a null id comes first; ids may be of any type that is ordered. Rows equal in id and text
+    are the only ones that one task needs together. A single document is its own next. An empty table gives no rows;
+    other columns are not read.
     """
-    rows = with_next(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    chars = F.length("text")
-    half = F.floor(chars / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.col("next"), F.lit(1), half)))
-    versions = {"own": F.col("text"), "new": F.col("edited"), "other": F.col("next")}
-    made = rows.select(F.col("id"), chars.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(digests(v).alias(k) for k, v in versions.items()), *(digests(v, PARTS).alias(f"{k}_parts") for k, v in versions.items()))
-    compared = {"n_changed": ("own", "new"), "n_other": ("own", "other"), "n_changed_parts": ("own_parts", "new_parts"), "n_other_parts": ("own_parts", "other_parts")}
-    known = made.select("*", *(F.size(difference(F.col(a), F.col(b))).alias(k) for k, (a, b) in compared.items()))
-    alike = {k: likeness(F.col(a), F.col(b), F.col(k)) for k, (a, b) in compared.items()}
+    plain_unions(docs.sparkSession)
+    rows = with_next(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    known = cut(compared(rows, CELLS, ROUNDS))
+    failed = known.where(" or ".join(f"{name}_open > 0" for name in FOUND.values()))
+    if not failed.isEmpty():
+        known = known.join(failed.select("bucket", "row"), ["bucket", "row"], "left_anti").unionByName(cut(again(rows, failed)))
+
+    def likeness(name: str, n: str) -> Column:
+        every = F.col(n) + F.col(f"{name}_other")
+        return F.when(every == 0, 1.0).otherwise((F.col(n) - F.col(f"{name}_own")) / every)
+
+    changed = lambda name: (F.col(f"{name}_own") + F.col(f"{name}_other")).cast("long")
     return known.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
-        alike["n_changed"].alias("near_edited"), alike["n_other"].alias("near_next"), F.col("n_changed").cast("long").alias("n_changed"),
-        alike["n_changed_parts"].alias("parts_edited"), alike["n_other_parts"].alias("parts_next"), F.col("n_changed_parts").cast("long").alias("n_changed_parts"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness("edited_lines", "n_lines").alias("near_edited"), likeness("next_lines", "n_lines").alias("near_next"), changed("edited_lines").alias("n_changed"),
+        likeness("edited_short", "n_short").alias("parts_edited"), likeness("next_short", "n_short").alias("parts_next"), changed("edited_short").alias("n_changed_parts"),
     )
