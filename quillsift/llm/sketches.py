@@ -27,7 +27,7 @@ SIZES = ((8, 18), (24, 30), (96, 45), (400, 60))
 #: Documents sorted together to find each one's next, most such buckets, and the sampled ids for each bucket's border.
 BUCKET, MOST_BUCKETS, SAMPLED = 500, 1 << 16, 4
 #: Code points that order texts of one id before a hash does, and characters of text in one partition, about.
-HEAD, PARTITION_CHARS = 32, 4_000_000
+HEAD, PARTITION_CHARS = 32, 2_000_000
 #: Most partitions that texts are dealt to.
 MOST_PARTITIONS = 1 << 17
 
@@ -145,6 +145,8 @@ def difference(a: Column, b: Column, sizes: tuple[tuple[int, int], ...] = SIZES,
 #: What a cell's slot tells beside its place: the comparison, the kind of digests, the table (RESULT: none) and the size's bits.
 LINES, SHORT, OWN_PRINT, NEW_PRINT = range(4)
 RESULT, CELL_BITS = 3, 48
+#: Beside the roles of a text's three versions: the number of its own digests, at place 2 of table RESULT.
+NUMBER = 3
 
 
 def slot_of(comparison: Column | int, kind: Column | int, table: Column | int, bits: Column | int, place: Column) -> Column:
@@ -255,7 +257,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     if known:  # binary search: how many buckets start at or before the row
         steps = [1 << k for k in reversed(range(len(known).bit_length()))]
         at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(F.get(starts, a + s - 1) <= F.col("key"), a + s).otherwise(a))
-    rows = docs.select("id", "text", order.alias("key")).withColumn("bucket", at)
+    rows = docs.select("text", order.alias("key")).withColumn("bucket", at)
     place_ = lambda bucket, guest, wrap: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"), F.lit(wrap).alias("wrap"))
     places = F.array_compact(F.array(
         place_(F.col("bucket"), False, False),
@@ -263,11 +265,12 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.when(F.col("key").eqNullSafe(lowest), place_(F.lit(len(known)), True, True)),
     ))
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, (chars or 0) // PARTITION_CHARS))
-    dealt = rows.select("id", "text", "key", digests(F.col("text")).alias("lines"), digests(F.col("text"), PARTS).alias("short"), F.explode(places).alias("place"))
-    dealt = dealt.select("id", "text", "key", "lines", "short", "place.*").repartition(width, "bucket")
+    # the id is taken out of the key again and no bucket is null, so that all readers need the same columns and filters and share one shuffle
+    dealt = rows.select("text", "key", F.explode(places).alias("place")).select("text", "key", F.coalesce("place.bucket", F.lit(0)).alias("bucket"), "place.guest", "place.wrap").repartition(width, "bucket")
+    dealt = dealt.select("*", digests(F.col("text")).alias("lines"), digests(F.col("text"), PARTS).alias("short"))
     sort = Window.partitionBy("bucket").orderBy("wrap", "key", "guest")
     following = dealt.select("*", *(F.lead(c).over(sort).alias(n) for c, n in (("text", "next"), ("lines", "next_lines"), ("short", "next_short"))), F.row_number().over(sort).alias("row"))
-    return following.where("not guest").drop("key", "guest", "wrap")
+    return following.where("not guest").select(F.col("key.id").alias("id"), "text", "next", "bucket", "row", "lines", "short", "next_lines", "next_short")
 
 
 def edit(rows: DataFrame) -> DataFrame:
@@ -293,14 +296,18 @@ def subtracted(rows: DataFrame, cells: int) -> DataFrame:
     for kind in (LINES, SHORT):
         sizes = [size_bits(F.col(f"{name}{kind}"), cells) for name in ("own", "new", "other")]
         entries += [entry(kind, role, F.greatest(*sizes), f"{name}{kind}") for role, name in enumerate(("own", "new", "other"))]
+        entries.append(F.struct(F.lit(kind).alias("kind"), F.lit(NUMBER).alias("role"), F.lit(0).alias("bits"), F.array(F.size(f"own{kind}").cast("long")).alias("digests")))
         entries += [entry(prints, role, sizes[role], f"{name}{kind}") for prints, role, name in ((OWN_PRINT, 0, "own"), (NEW_PRINT, 1, "new")) if kind == LINES]
     each = made.select("bucket", "row", F.explode(F.array(*entries)).alias("v")).select("bucket", "row", "v.kind", "v.role", "v.bits", F.explode("v.digests").alias("key"))
-    each = each.select("bucket", "row", "role", "key", F.xxhash64("key", F.lit(97)).alias("check"), F.explode(F.array(*(slot_of(0, F.col("kind"), t, F.col("bits"), place(F.col("key"), t, F.col("bits"))) for t in range(3)))).alias("slot"))
-    none = F.lit(0).cast("long")
+    none, number = F.lit(0).cast("long"), F.col("role") == NUMBER
+    slots = F.array(*(slot_of(0, F.col("kind"), t, F.col("bits"), place(F.col("key"), t, F.col("bits"))) for t in range(3)))
+    slots = F.when(number, F.array(slot_of(0, F.col("kind"), RESULT, 0, F.lit(2).cast("long")))).otherwise(slots)
+    each = each.select("bucket", "row", "role", "key", F.xxhash64("key", F.lit(97)).alias("check"), F.explode(slots).alias("slot"))
     sums = []
     for role in range(3):
         mine = F.col("role") == role
-        sums += [F.sum(F.when(mine, 1).otherwise(0)).alias(f"n{role}"), F.bit_xor(F.when(mine, F.col("key")).otherwise(none)).alias(f"key{role}"), F.bit_xor(F.when(mine, F.col("check")).otherwise(none)).alias(f"check{role}")]
+        one = F.when(mine, F.lit(1).cast("long"))
+        sums += [F.sum((one.when(number, F.col("key")) if role == 0 else one).otherwise(none)).alias(f"n{role}"), F.bit_xor(F.when(mine, F.col("key")).otherwise(none)).alias(f"key{role}"), F.bit_xor(F.when(mine, F.col("check")).otherwise(none)).alias(f"check{role}")]
     sketched = each.groupBy("bucket", "row", "slot").agg(*sums)
     kind = field(F.col("slot"), CELL_BITS + 8, 2)
 
@@ -333,14 +340,16 @@ def compared(rows: DataFrame, cells: int, rounds: int) -> DataFrame:
         mine = number == comparison * 4 + kind
         sums += [F.sum(F.when(mine & result & (at == p), F.col("n")).otherwise(0)).alias(f"{name}_{only}") for p, only in enumerate(("own", "other"))]
         sums.append(F.sum(F.when(mine & ~result, 1).otherwise(0)).alias(f"{name}_open"))
+    sums += [F.sum(F.when((number == kind) & result & (at == 2), F.col("n")).otherwise(0)).alias(name) for kind, name in ((LINES, "n_lines"), (SHORT, "n_short"))]
     for kind in (OWN_PRINT, NEW_PRINT):
         sums += [F.bit_xor(F.when(number == 8 + kind, F.col(c)).otherwise(F.lit(0).cast("long"))).alias(f"{c}{kind}") for c in ("key", "check")]
     counts = left.groupBy("bucket", "row").agg(*sums)
-    known = rows.select("bucket", "row", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.size("lines").alias("n_lines"), F.size("short").alias("n_short"))
+    known = rows.select("bucket", "row", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     joined = known.join(counts, ["bucket", "row"], "left")
     print_of = lambda kind: F.lower(F.concat(*(F.lpad(F.hex(F.coalesce(F.col(f"{c}{kind}"), F.lit(0).cast("long"))), 16, "0") for c in ("key", "check"))))
     numbers = [F.coalesce(F.col(f"{name}_{c}"), F.lit(0).cast("long")).alias(f"{name}_{c}") for name in FOUND.values() for c in ("own", "other", "open")]
-    return joined.select("bucket", "row", "id", "n_chars", "edited_sha256", print_of(OWN_PRINT).alias("fingerprint"), print_of(NEW_PRINT).alias("edited_fingerprint"), "n_lines", "n_short", *numbers)
+    numbers += [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_short")]
+    return joined.select("bucket", "row", "id", "n_chars", "edited_sha256", print_of(OWN_PRINT).alias("fingerprint"), print_of(NEW_PRINT).alias("edited_fingerprint"), *numbers)
 
 
 def again(rows: DataFrame, failed: DataFrame) -> DataFrame:
@@ -348,7 +357,7 @@ def again(rows: DataFrame, failed: DataFrame) -> DataFrame:
     key = ["bucket", "row"]
     new = {"edited_lines": ("lines", digests(F.col("edited"))), "next_lines": ("lines", F.col("next_lines")), "edited_short": ("short", digests(F.col("edited"), PARTS)), "next_short": ("short", F.col("next_short"))}
     some = edit(rows).join(failed.select(*key, "fingerprint", "edited_fingerprint"), key)
-    some = some.select(*key, "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.size("lines").alias("n_lines"), F.size("short").alias("n_short"), *(difference(F.col(own), other).alias(name) for name, (own, other) in new.items()))
+    some = some.select(*key, "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.size("lines").cast("long").alias("n_lines"), F.size("short").cast("long").alias("n_short"), *(difference(F.col(own), other).alias(name) for name, (own, other) in new.items()))
     only = lambda name, sign: F.size(F.filter(name, lambda x: x["sign"] == sign)).cast("long")
     numbers = []
     for name in FOUND.values():
