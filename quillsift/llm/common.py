@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: a batch of very long texts still fits a Python worker.
-ARROW_ROWS = 256
-#: The same for rows of a few numbers.
-NUMBER_ROWS = 20_000
+from quillsift.plans.lineage import settled
+
+#: Rows in one Arrow batch of what is planned next, unless told otherwise, and of rows of a few numbers.
+ARROW_ROWS, NUMBER_ROWS = 256, 20_000
+#: Bytes in any Arrow batch, but for a single longer row: whatever its number of rows, a batch of very long texts fits a Python worker.
+ARROW_BYTES = 16 << 20
 
 
 def batches_of(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the Arrow batches of what is planned next: few rows where a row may hold a very long text, many of numbers."""
+    """Bounds the Arrow batches of what is planned next by rows, and all by bytes.
+
+    A result that runs later, under another operator's number of rows, is still bounded by bytes.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there, so lost executors cost no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df as a table in the shared folder, so that lost executors cost no recomputation, it is computed once and its readers prune columns.
+
+    forget() of the same module as settled() removes it where nothing reads it any more.
+    """
+    return settled(df)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
