@@ -22,7 +22,7 @@ def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     batches_of(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(name)
+        encode = tokenizer(name, special_tokens=True)
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "length": [len(encode(text or "")) for text in batch["text"]]}).astype({"length": "int64"})
 

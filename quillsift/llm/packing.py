@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -21,6 +22,20 @@ CAPACITY, END, TOKENIZER = 2_048, 0, "word_bpe_49k.json"
 GROUP = 20_000
 #: Entries of a worker's tables from parts of texts to ids; a table is emptied when full.
 CACHE = 400_000
+#: How a tokenizer is built for which parts of texts can be encoded by themselves: fixed values of its file, but for vocabulary and merges.
+FITS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+    None,
+    {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+]
 #: What most parts between blanks look like: letters with signs before and after.
 PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
 
@@ -38,15 +53,12 @@ class Ids(dict):
     The tokenizer drops white space and never joins across it, so parts between blanks can be encoded one by one, and
     as they repeat, mostly looked up. Of a part of Latin letters with signs around, letters and signs are tokens of
     their own that only need lower case, which goes straight to the merges; any other part takes the tokenizer's whole
-    way. Special tokens' strings in a text are ordinary text.
+    way. That holds for tokenizers built like FITS, of which fits() tells.
     """
 
-    def __init__(self, name: str):
-        from tokenizers import Tokenizer
-
+    def __init__(self, whole):
         super().__init__({"": b""})
-        self.whole = Tokenizer.from_file(public_tokenizers.path(name))
-        self.whole.encode_special_tokens = True
+        self.whole = whole
         self.merges, self.runs, self.letters = self.whole.model, {"": b""}, byte_letters()
 
     def run(self, run: str) -> bytes:
@@ -72,15 +84,41 @@ class Ids(dict):
         return ids
 
 
-def tokenizer(name: str = TOKENIZER) -> Callable[[str], np.ndarray]:
-    """Text to ids."""
-    known = Ids(name)
-    return lambda text: np.frombuffer(b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
+def fits(whole) -> bool:
+    """Whether a tokenizer is built as Ids takes for granted: nothing is added to what a text gives, and all but the vocabulary is like FITS."""
+    built = json.loads(whole.to_str())
+    model = {k: v for k, v in built["model"].items() if k not in ("vocab", "merges")}
+    return [built[k] for k in ("normalizer", "pre_tokenizer", "post_processor", "truncation")] + [model] == FITS
+
+
+def tokenizer(name: str = TOKENIZER, special_tokens: bool = False) -> Callable[[str], np.ndarray]:
+    """Text to ids, those of the tokenizer's own encode() without added special tokens.
+
+    special_tokens: whether a special token's string in a text is that token, as encode() has it unless told otherwise,
+    or ordinary text. Texts that hold such a string, and tokenizers that the short cuts don't fit, go the whole way.
+    """
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    whole.encode_special_tokens = not special_tokens
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    if not fits(whole):
+        return lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain.encode_special_tokens = True
+    known = Ids(plain)
+
+    def encode(text: str) -> np.ndarray:
+        if special_tokens and any(t in text for t in added):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
+
+    return encode
 
 
 def pieces(capacity: int, name: str, keep_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(name)
+        encode = tokenizer(name, special_tokens=True)
         end = np.array([END], "<u4")
         for batch in batches:
             out: list[tuple] = []
@@ -95,12 +133,13 @@ def pieces(capacity: int, name: str, keep_ids: bool):
     return run
 
 
-def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def place(lengths: np.ndarray, capacity: int, plain: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset for each length, by sum of squares, the longest first.
 
     open_[g] is the number of open sequences with gap g. A piece goes where the sum of open_[g] ** 2 over all gaps
     becomes smallest: into one with gap g, which then has gap g - length (0: closed, not counted), or into a new one;
-    of equal sums into the smallest gap. Once as many sequences are open as all lengths need at least, a new one is
+    of equal sums into the smallest gap. A new one competes always; without `plain`, which takes some
+    sequences fewer (README has figures), once as many sequences are open as all lengths need at least, a new one is
     opened only for a piece that fits nowhere.
     """
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
@@ -113,7 +152,7 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         change = open_[: capacity - size + 1] - open_[size:] + 1.0
         change[0] = -open_[size] + 0.5
         change[open_[size:] == 0] = np.inf
-        if used < least or not np.isfinite(change).any():
+        if plain or used < least or not np.isfinite(change).any():
             change[-1] = open_[capacity - size] + 0.5 if size < capacity else 0.0
         gap = size + int(change.argmin())
         if gap == capacity:
@@ -143,7 +182,7 @@ def packer(capacity: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, name: str = TOKENIZER, keep_ids: bool = False, group: int = GROUP) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if they are kept).
 
-    A document is its text's ids and an end id, so a null or empty text is one piece of one id. Documents longer than
+    A document is its text's ids, by the tokenizer's encode() without added special tokens, and an end id, so a null or empty text is one piece of one id. Documents longer than
     `capacity` are cut into pieces of that length, the last of which may be shorter. Pieces are dealt evenly, whatever
     their ids, to packers of at most `group`, about; a packer holds lengths, not texts (unless ids are kept). Rows that share an id, or have
     none, are documents of their own, told apart by sequence_id and offset. An empty table gives no rows; other columns

@@ -359,6 +359,26 @@ def test_tokenizer_takes_short_cuts_only_where_they_agree():
     assert all(encode(c).tolist() == model.encode(c, add_special_tokens=False).ids for c in cases)
 
 
+def test_special_tokens_in_texts_as_the_tokenizer_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quillsift.llm.lengths import encoded_lengths
+    from quillsift.llm.packing import pack, tokenizer
+
+    texts = ["a <|endoftext|> b", "x<|endoftext|>", "<|startoftext|>Hello <|EndOfText|>", "<|endoftext", "plain words"]
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in want[0]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["ids"] for r in sorted(pack(table, keep_ids=True).collect())] == [[*ids, 0] for ids in want]
+    assert [r["length"] for r in sorted(encoded_lengths(table).collect())] == [len(ids) for ids in want]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):  # a tokenizer that the short cuts don't fit goes the whole way
+        other = Tokenizer.from_file(public_tokenizers.path(name))
+        encode = tokenizer(name, special_tokens=True)
+        assert all(encode(t).tolist() == other.encode(t, add_special_tokens=False).ids for t in [*texts, "Hello World", "It's\n2 lines"])
+
+
 def test_packing_odd_rows(spark, odd):
     from quillsift.llm.packing import pack
 
