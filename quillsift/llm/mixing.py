@@ -11,8 +11,9 @@ from quillsift.llm.common import cut, fresh
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Share of all sizes that the mix takes, and how often a document may be taken at most.
 SHARE, EPOCHS = 1.5, 2
-#: Bits of the hash that each level of histograms looks at; together 64.
-LEVELS = (12, 13, 13, 13, 13)
+#: Bits of the hash that each level of histograms looks at; together HASH_BITS, so that hashes are not negative.
+LEVELS = (12, 12, 12, 12, 12)
+HASH_BITS = sum(LEVELS)
 #: The sources' table is broadcast up to this many rows; above, it is joined by a shuffle.
 BROADCAST_ROWS = 10_000
 
@@ -58,40 +59,53 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return table.select("source", "source_size", target.alias("target")), rows
 
 
-def thresholds(sized: DataFrame, goals: DataFrame, rows: int) -> DataFrame:
-    """(source, base, cutoff, tied): every document is taken base times, and once more if its hash is below cutoff, or
-    equal to it where tied.
+def refined(sized: DataFrame, state: DataFrame, rows: int, hash_col: str) -> DataFrame:
+    """state (source, cutoff, base, left, prefix, open) with prefix the hash of the documents on which `left` falls, last their
+    size, many their number, and left what is left of it there; open: false where the sum never passes it.
 
     A histogram of sizes by source and leading hash bits finds the bucket in which the source's running sum passes what
-    is left of its target; the next level looks at further bits of that bucket's documents alone. Thresholds are
-    nested: a smaller target takes a part of what a larger one takes. The document on which the target falls is taken
-    if that brings the sum nearer.
+    is left of its target; the next level looks at further bits of that bucket's documents alone.
     """
-    state = goals.select("source", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int").alias("base"), "source_size", "target")
-    state = state.select("source", "base", (F.col("target") - F.col("base") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("prefix"), F.lit(True).alias("open"))
     done = 0
     for bits in LEVELS:
         done += bits
         state = cut(state)
-        # the hash's first `done` bits, as a number from 0
-        leading = F.shiftrightunsigned("hash", 64 - done) if done < 64 else F.col("hash")
-        parent = F.shiftrightunsigned("hash", 64 - done + bits) if done > bits else F.lit(0).cast("long")
-        inside = sized.join(small(state.select(F.col("source").alias("s"), "prefix", "open"), rows), F.col("source").eqNullSafe(F.col("s")) & F.col("open") & (parent == F.col("prefix")))
-        sums = inside.groupBy("source", leading.alias("bucket")).agg(F.sum("size").alias("size"))
-        order = F.col("bucket") if done < 64 else F.col("bucket").bitwiseXOR(F.lit(-(1 << 63)))  # as unsigned
-        sums = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy(order)))
+        leading, parent = (F.shiftrightunsigned(hash_col, HASH_BITS - x) for x in (done, done - bits))
+        mine = F.col("source").eqNullSafe(F.col("s")) & F.col("open") & (parent == F.col("prefix")) & (F.col("cutoff").isNull() | (F.col("cutoff") == F.col("hash")))
+        inside = sized.join(small(state.select(F.col("source").alias("s"), "prefix", "open", "cutoff"), rows), mine)
+        sums = inside.groupBy("source", leading.alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("many"))
+        sums = sums.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")))
         # the first bucket whose sum passes what is left, and the sum before it
         over = sums.join(small(state.select(F.col("source").alias("s"), "left"), rows), F.col("source").eqNullSafe(F.col("s"))).where("upto > left")
-        first = over.groupBy(F.col("source").alias("s")).agg(F.min(F.struct(order.alias("o"), "bucket", "size", "upto")).alias("hit"))
+        first = over.groupBy(F.col("source").alias("s")).agg(F.min(F.struct("bucket", "size", "upto", "many")).alias("hit"))
+        passed = F.col("hit").isNotNull()
         state = state.join(small(first, rows), F.col("source").eqNullSafe(F.col("s")), "left").select(
-            "source", "base",
-            F.when(F.col("hit").isNotNull(), F.col("left") - F.col("hit.upto") + F.col("hit.size")).otherwise(F.col("left")).alias("left"),
-            F.when(F.col("hit").isNotNull(), F.col("hit.bucket")).otherwise(F.col("prefix")).alias("prefix"),
-            F.col("hit").isNotNull().alias("open"),
-            *([F.col("hit.size").alias("last")] if done == 64 else []),
+            "source", "cutoff", "base", F.when(passed, F.col("left") - F.col("hit.upto") + F.col("hit.size")).otherwise(F.col("left")).alias("left"),
+            F.coalesce("hit.bucket", "prefix").alias("prefix"), passed.alias("open"), F.col("hit.size").alias("last"), F.col("hit.many").alias("many"),
         )
-    tied = F.coalesce(F.col("open") & (F.col("left") * 2 >= F.col("last")), F.lit(False))
-    return state.select("source", "base", F.when(F.col("open"), F.col("prefix")).alias("cutoff"), tied.alias("tied"), "open")
+    return cut(state)
+
+
+def thresholds(sized: DataFrame, goals: DataFrame, rows: int) -> DataFrame:
+    """(source, base, open, cutoff, tie_cutoff): every document is taken base times, and once more if its hash is below cutoff, or
+    equal to it and its tie below tie_cutoff.
+
+    Thresholds are nested: a smaller target takes a part of what a larger one takes. The document on which the target
+    falls is taken if that brings the sum nearer. Where several documents share its hash, as rows equal in all do, they
+    are told apart by their ties, in the same way.
+    """
+    none = F.lit(0).cast("long")
+    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    state = goals.select("source", F.lit(None).cast("long").alias("cutoff"), base.alias("base"), (F.col("target") - base * F.col("source_size")).alias("left"), none.alias("prefix"), F.lit(True).alias("open"))
+    found = refined(sized, state, rows, "hash")
+    nearer = (F.col("left") * 2 >= F.col("last")).cast("long")
+    ends = found.select("source", "base", "open", F.when(F.col("open"), F.col("prefix")).alias("cutoff"), F.when(F.col("open") & (nearer == 1), F.lit(1 << HASH_BITS)).otherwise(none).alias("tie_cutoff"), "left", F.coalesce(F.col("many") > 1, F.lit(False)).alias("shared"))
+    if ends.where("shared").isEmpty():
+        return ends.drop("left", "shared")
+    apart = refined(sized, ends.select("source", "cutoff", "base", "left", none.alias("prefix"), F.col("shared").alias("open")), rows, "tie")
+    apart = apart.where("open").select(F.col("source").alias("s"), (F.col("prefix") + nearer).alias("at"))
+    joined = ends.join(small(apart, rows), F.col("source").eqNullSafe(F.col("s")), "left")
+    return joined.select("source", "base", "open", "cutoff", F.coalesce("at", "tie_cutoff").alias("tie_cutoff"))
 
 
 def limits(sized: DataFrame, weights: tuple[float, ...], share: float, epochs: int) -> tuple[DataFrame, int]:
@@ -102,46 +116,58 @@ def limits(sized: DataFrame, weights: tuple[float, ...], share: float, epochs: i
     return cut(goals.join(small(found, rows), F.col("source").eqNullSafe(F.col("s"))).drop("s")), rows
 
 
-def times(value: Column, epochs: int, prefix: str = "") -> Column:
-    """How often a document with this hash is taken, next to the columns of limits(), whose names start with prefix."""
-    base, cutoff, tied, open_, target, size = (F.col(prefix + c) for c in ("base", "cutoff", "tied", "open", "target", "source_size"))
-    order, limit = (c.bitwiseXOR(F.lit(-(1 << 63))) for c in (value, cutoff))  # as unsigned
+def times(value: Column, tie: Column, epochs: int, prefix: str = "") -> Column:
+    """How often a document with this hash and tie is taken, next to the columns of limits(), whose names start with prefix."""
+    base, cutoff, tie_cutoff, open_, target, size = (F.col(prefix + c) for c in DECIDE)
     # a source whose sum never passes what is left of its target is taken whole, unless nothing is left
-    more = F.when(open_, (order < limit) | (tied & (order == limit))).otherwise(target > base * size)
+    more = F.when(open_, (value < cutoff) | ((value == cutoff) & (tie < tie_cutoff))).otherwise(target > base * size)
     return F.least(base + F.coalesce(more, F.lit(False)).cast("int"), F.lit(epochs))
 
 
+DECIDE = ("base", "cutoff", "tie_cutoff", "open", "target", "source_size")
+
+
 def hashed(id_col: str, text_col: str, source_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+    """The leading HASH_BITS bits of the md5 of id, source and text; null counts as empty."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, source_col, text_col)]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def tie() -> Column:
+    """Tells rows apart that are equal in id, source and text; which of these are taken makes no difference."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - HASH_BITS)
+
+
+def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), hashed(id_col, text_col, source_col).alias("hash"), tie().alias("tie")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """id, size, source_size, target, taken: one row for each row of docs, with how many of its words the mix takes.
 
     A document's size is its number of words (null text: 0). Which documents are taken follows from a hash of id,
-    source and text, so reruns agree whatever the partitions; rows equal in all three are taken alike. Null is a source
-    of its own, the last. A source of size 0 has target 0. No document is taken more than `epochs` times. An empty
-    table gives no rows; other columns are not read.
+    source and text, so reruns agree whatever the partitions; of rows equal in all three as many are taken as the target
+    needs. Null is a source of its own, the last. A source of size 0 has target 0. No document is taken more than
+    `epochs` times. An empty table gives no rows; other columns are not read.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), hashed(id_col, text_col, source_col).alias("hash")))
+    sized = sizes_of(docs, id_col, text_col, source_col)
     known, rows = limits(sized, weights, share, epochs)
     joined = sized.join(small(known.withColumnRenamed("source", "s"), rows), F.col("source").eqNullSafe(F.col("s")))
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times(F.col("hash"), epochs)).alias("taken"))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times(F.col("hash"), F.col("tie"), epochs)).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """docs as mix() takes them: rows not taken are gone, rows taken twice stand there twice. Columns are those of docs.
 
-    The decision needs only a row's source and hash, so no text is shuffled where the sources are few.
+    The decision needs only a row's source and hash, so no text is shuffled where the sources are few. Rows equal in id,
+    source and text are told apart by where they stand, so docs has to be read in one order, as files are.
     """
-    sized = cut(docs.select(F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), hashed(id_col, text_col, source_col).alias("hash")))
-    known, rows = limits(sized, weights, share, epochs)
-    mark, n, each = fresh(docs, "mix_source", "mix_times", "mix_copy")
-    decide = ("base", "cutoff", "tied", "open", "target", "source_size")
-    known = known.select(F.col("source").alias(mark), *(F.col(c).alias(f"{mark}_{c}") for c in decide))
-    text = docs.withColumn(n, hashed(id_col, text_col, source_col))
+    known, rows = limits(sizes_of(docs, id_col, text_col, source_col), weights, share, epochs)
+    mark, n, each, at = fresh(docs, "mix_source", "mix_times", "mix_copy", "mix_tie")
+    known = known.select(F.col("source").alias(mark), *(F.col(c).alias(f"{mark}_{c}") for c in DECIDE))
+    text = docs.withColumn(n, hashed(id_col, text_col, source_col)).withColumn(at, tie())
     joined = text.join(small(known, rows), F.col(source_col).cast("string").eqNullSafe(F.col(mark)))
-    often = times(F.col(n), epochs, f"{mark}_")
+    often = times(F.col(n), F.col(at), epochs, f"{mark}_")
     return joined.withColumn(n, often).where(F.col(n) > 0).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(docs[c] for c in docs.columns))
 
 

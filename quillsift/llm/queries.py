@@ -37,4 +37,19 @@ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.l
 reach AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b AS node, r.root FROM reach r JOIN links l ON l.a = r.node),
 found AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT f.node AS vec_id, coalesce(n.n, 0) AS n_links, f.component_id, f.node = f.component_id AS kept FROM found f LEFT JOIN n ON n.a = f.node"""
-SQL: dict[str, str] = {"op5_chat_formatting": CHAT_SQL, "op9_embedding_near_dedup": VECTOR_SQL}
+#: op10: targets by the order in which sources fill up, then documents in order of their hash.
+MIX_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(source, '') || chr(31) || coalesce(text, '')), 1, 15) AS hash FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT source, source_size, place, CAST(CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, 2.0 * CAST(source_size AS DOUBLE) AS most FROM s),
+b AS (SELECT least(1.5 * CAST(sum(source_size) AS DOUBLE), sum(most)) AS budget FROM w),
+r AS (SELECT weight, most, most / weight AS full_at, row_number() OVER (ORDER BY most / weight, source_size, place) AS k FROM w),
+f AS (SELECT k, full_at, (budget - (sum(most) OVER (ORDER BY k) - most)) / (sum(weight) OVER () - sum(weight) OVER (ORDER BY k) + weight) AS level FROM r, b),
+l AS (SELECT arg_min(level, k) FILTER (level < full_at) AS level FROM f),
+t AS (SELECT w.source, w.source_size, CASE WHEN l.level IS NULL OR l.level * w.weight >= w.most THEN w.most ELSE l.level * w.weight END AS target FROM w, l),
+u AS (SELECT t.*, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
+o AS (SELECT d.doc_id, d.size, u.source_size, u.target, u.base, u.target - u.base * u.source_size AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+CAST(size * least(2, base + CASE WHEN upto <= rest OR (upto - size <= rest AND 2 * (rest - upto + size) >= size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o"""
+SQL: dict[str, str] = {"op10_mix_sources": MIX_SQL, "op5_chat_formatting": CHAT_SQL, "op9_embedding_near_dedup": VECTOR_SQL}

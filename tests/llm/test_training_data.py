@@ -668,6 +668,23 @@ def test_mixing_odd_rows(spark, odd):
         assert not r["size"] or counts.get((r["doc_id"], text), 0) == copies * r["taken"] // r["size"]
 
 
+def test_mixing_takes_repeated_rows_by_number(spark, tmp_path):
+    from quillsift.llm.mixing import mix, mixed
+
+    rows = [(1, "w " * 100, "a")] * 1000 + [(k, "w " * 10, "b") for k in range(1000)] + [(5, "w " * 7, None)] * 30 + [(None, None, "a")] * 3
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/docs")
+    table = spark.read.parquet(f"{tmp_path}/docs")
+    found = mix(table).collect()
+    sums = {}
+    for r in found:
+        key = r["source_size"]
+        sums[key] = (sums.get(key, (0, 0))[0] + r["taken"], r["target"])
+    assert len(found) == len(rows) and len(sums) == 3
+    assert all(abs(taken - target) <= 50 for taken, target in sums.values())
+    copies = {r["source"]: r["n"] for r in mixed(table).groupBy("source").agg(F.sum(F.size(F.split(F.rtrim("text"), " "))).alias("n")).collect()}
+    assert copies["a"] == sums[100_000][0] and copies["b"] == sums[10_000][0]
+
+
 def test_mixing_with_more_sources_than_are_broadcast(spark, monkeypatch):
     from quillsift.llm import mixing
 
