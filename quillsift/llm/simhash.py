@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from quillsift.llm.common import NUMBER_ROWS, batches_of, cut, fresh, spanning
 from quillsift.llm.components import connected_components
+from quillsift.session import plain_unions
 
 #: Fingerprints link at this many differing bits or fewer.
 RADIUS = 3
@@ -24,6 +25,8 @@ PARTS, BITS = 4, 16
 TILES = (BITS + 1) ** PARTS
 #: Most fingerprints of a tile, and most visitors from other tiles, in one unit of comparison.
 HOME, VISITORS = 4_096, 65_536
+#: Keys are broadcast up to so many.
+BROADCAST_ROWS = 200_000
 #: Shingles hashed, and pairs compared, at once.
 CHUNK, PAIRS = 65_536, 1 << 21
 
@@ -210,11 +213,16 @@ def row_key(row_id: Column, text: Column) -> Column:
     return F.concat(F.coalesce(row_id.cast("string"), F.lit("none")), F.lit(":"), F.hex(F.xxhash64(F.coalesce(text, F.lit("")))))
 
 
-def labelled(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+def whole_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """row_key(), then a hash of all columns (but maps, which have no order): only rows equal in all share a key."""
+    return F.concat(row_key(F.col(id_col), F.col(text_col)), F.lit(":"), F.hex(F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))))
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, radius: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, key, fp) of each row; (fp, first) with the first row of its component: not null, smallest id, then key."""
     spark = docs.sparkSession
     batches_of(spark)
-    prints = cut(docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), fingerprints(F.col(text_col)).alias("fp")))
+    prints = cut(docs.select(F.col(id_col).alias("id"), (row_key(F.col(id_col), F.col(text_col)) if key is None else key).alias("key"), fingerprints(F.col(text_col)).alias("fp")))
     batches_of(spark, NUMBER_ROWS)
     values = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")))
     label = connected_components(cut(fingerprint_links(values.select("fp"), radius)))
@@ -240,13 +248,27 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs without all but one document of each SimHash component: the one with the smallest id stays.
 
     Rows without an id stay only where their component has none with an id, and then one of them. Of rows that share
-    the kept id, those with the smallest text hash stay, and one of those that are equal in both. The columns are
-    those of docs; an empty table stays empty.
+    the kept id, that with the smallest text hash stays, then that with the smallest hash of all columns, and one of
+    those that are equal in all. The columns are those of docs; an empty table stays empty.
+
+    Who stays is decided on ids, hashes and fingerprints. Texts are shuffled only where more than BROADCAST_ROWS go, and
+    those of rows that repeat in all columns.
     """
-    _, known = labelled(docs, id_col, text_col, radius)
+    name = whole_key(docs, id_col, text_col)
+    prints, known = labelled(docs, id_col, text_col, radius, name)
     (mark,) = fresh(docs, "row_key")
-    keep = known.select(F.col("first.key").alias(mark)).distinct()
-    return docs.withColumn(mark, row_key(F.col(id_col), F.col(text_col))).join(keep, mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    told = cut(prints.join(known, "fp").select("key", (F.col("key") == F.col("first.key")).alias("stays")).groupBy("key", "stays").count())
+    gone, repeated = told.where(~F.col("stays")), told.where(F.col("stays") & (F.col("count") > 1))
+    out = docs.withColumn(mark, name)
+    for rows, few in ((gone, gone.count() <= BROADCAST_ROWS), (repeated, repeated.count() <= BROADCAST_ROWS)):
+        named = rows.select(F.col("key").alias(mark))
+        named = F.broadcast(named) if few else named
+        if rows is gone:
+            out = out.join(named, mark, "left_anti")
+        elif not rows.isEmpty():
+            plain_unions(docs.sparkSession)
+            out = out.join(named, mark, "left_anti").unionByName(out.join(named, mark, "left_semi").dropDuplicates([mark]))
+    return out.drop(mark)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,17 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash_components(odd.limit(0)).count() == 0 and drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_near_duplicates_go_by_a_fixed_order(spark, monkeypatch, most):
+    from quillsift.llm import simhash
+
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    same, other = "one text that several rows hold word for word", "nothing here is like the other text at all"
+    rows = [(4, same, "b"), (4, same, "a"), (4, same, "a"), (9, same, "a"), (None, same, "c"), (7, other, "x"), (7, other, "x")]
+    found = [simhash.drop_near_duplicates(spark.createDataFrame(r, "doc_id long, text string, source string")).collect() for r in (rows, rows[::-1])]
+    assert sorted(map(tuple, found[0])) == sorted(map(tuple, found[1])) and sorted(r["doc_id"] for r in found[0]) == [4, 7]
+
+
 # 4: token counts
 
 
