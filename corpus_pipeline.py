@@ -9,6 +9,7 @@ from quillsift.llm.mixing import mixed
 from quillsift.llm.packing import pack
 from quillsift.llm.quality import keep_good
 from quillsift.llm.simhash import drop_near_duplicates
+from quillsift.plans.lineage import forget
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +39,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each cut from the next by a checkpoint."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as a table in the shared folder, which goes when the next one stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs)
+            forget(spark, *before)
+            before = [docs]
     return docs
