@@ -22,50 +22,42 @@ RULES = (
 )
 #: Buckets of the hashed n-grams, and their lengths.
 BUCKETS, LENGTHS = 1 << 14, (3, 4, 5)
-#: Steps, step size and L2 penalty of the training.
-STEPS, RATE, PENALTY = 400, 2.0, 1e-4
+#: Steps (Adam), step size and L2 penalty of the training.
+STEPS, RATE, PENALTY = 300, 0.1, 1e-5
 #: Probability from which a URL is blocked.
 THRESHOLD = 0.5
 
-#: The labelled URLs: (host, path, 1 to block). Names are made up.
-LABELLED = (
-    ("www.casino-royale.example.com", "/en/12", 1), ("lucky-casino.example.net", "/fr/4711.html", 1),
-    ("m.casino-win.example.org", "/de/77", 1), ("online-casino-slots.example.com", "/en/5", 1),
-    ("casinobonus.example.net", "/bonus/", 1), ("best-bets.example.org", "/es/9", 1),
-    ("www.free-bets.example.com", "/en/301", 1), ("sports-bets-now.example.net", "/fr/88.html", 1),
-    ("free-spins.example.com", "/de/3", 1), ("freespins-slots.example.org", "/en/", 1),
-    ("poker-chips.example.net", "/es/100", 1), ("win-big-jackpot.example.com", "/en/41", 1),
-    ("cheap-pills.example.com", "/de/6652.html", 1), ("www.cheap-meds.example.org", "/en/21", 1),
-    ("buy-pills-online.example.net", "/fr/", 1), ("discount-viagra.example.com", "/es/7", 1),
-    ("diet-pills-store.example.org", "/en/90.html", 1), ("cheap-watches.example.net", "/de/15", 1),
-    ("replica-watches.example.com", "/en/66", 1), ("xxx-videos.example.com", "/en/1", 1),
-    ("www.adult-cams.example.net", "/fr/23", 1), ("hot-adult-chat.example.org", "/de/8", 1),
-    ("free-porn.example.com", "/es/55", 1), ("sexy-singles.example.net", "/en/72", 1),
-    ("fast-loans.example.com", "/en/64", 1), ("payday-loans-now.example.org", "/fr/31", 1),
-    ("click-ads.example.net", "/banner/", 1), ("track.ads-server.example.com", "/click", 1),
-    ("free-crack-keygen.example.org", "/download/", 1), ("warez-torrents.example.net", "/de/2", 1),
-    ("get-rich-quick.example.com", "/en/13", 1), ("earn-money-fast.example.net", "/es/46", 1),
-    ("spam-links.example.com", "/en/18", 1), ("www.link-farm.example.net", "/de/402", 1),
-    ("content-farm.example.org", "/fr/17.html", 1), ("seo-spam.example.net", "/en/96", 1),
-    ("adult-x.example.net", "/es/12", 1), ("m.xxx-adult.example.com", "/fr/9", 1),
-    ("ads-click.example.org", "/en/31", 1), ("ad-track.example.com", "/pixel", 1),
-    ("www.example.com", "/en/1291/", 0), ("blog.tionsh.example.org", "/fr/7424.html", 0),
-    ("m.theror.example.net", "/de/5989", 0), ("therhe.example.org", "/en/8423", 0),
-    ("ththan.example.com", "/en/7944", 0), ("news.example.net", "/en/2023/", 0),
-    ("wiki.example.org", "/wiki/Article", 0), ("docs.example.com", "/guide/index.html", 0),
-    ("www.library.example.org", "/catalog/55", 0), ("forum.gardening.example.net", "/thread/981", 0),
-    ("recipes.example.com", "/es/soup/14", 0), ("university.example.org", "/courses/301", 0),
-    ("blog.weather.example.net", "/fr/61", 0), ("m.museum.example.org", "/de/17.html", 0),
-    ("history.example.com", "/en/4033.html", 0), ("www.thering.example.net", "/en/129", 0),
-    ("tiontion.example.com", "/es/6137", 0), ("blog.ander.example.org", "/de/1373", 0),
-    ("m.ththes.example.com", "/en/873", 0), ("ingst.example.net", "/fr/38", 0),
-    ("www.erand.example.org", "/en/7442.html", 0), ("ousehre.example.com", "/de/5462", 0),
-    ("science.example.org", "/papers/88", 0), ("travel.example.net", "/es/lima/3", 0),
-    ("m.school.example.com", "/en/7", 0), ("code.example.org", "/repo/issues/12", 0),
-    ("music.example.net", "/fr/album/90", 0), ("blog.photo.example.com", "/en/5", 0),
-    ("books.example.org", "/en/3413", 0), ("maps.example.net", "/de/berlin", 0),
-    ("www.hospital.example.com", "/fr/service/4", 0), ("city.example.org", "/es/2", 0),
-)
+#: Words of made-up sites to block and to allow, words that either may have, and syllables of names without meaning.
+JUNK = """casino poker slots jackpot betting roulette lottery viagra pills pharmacy steroids replica xxx porn adult cams escort
+    nudes loans payday cashfast crack keygen warez torrents serials spam backlinks linkfarm adserver clicktrack banner popup
+    clickbait getrich forex miracle dietpills hotsingles sweepstakes""".split()
+PLAIN = """library museum university school garden recipes weather history science music books travel city hospital code docs
+    wiki news photo maps chess birds astronomy poetry cooking cycling trains geology law maths physics theatre opera cinema
+    pottery sailing hiking farming economy parliament""".split()
+EITHER = "online best free now guide world daily club house shop top my the deals live".split()
+SYLLABLES = "lo ra mi ten bar ku sel don vi pa gor lin ash mer tu fen".split()
+#: How hosts and paths are put together: {a} the word, {b} one of EITHER, {n} a number.
+HOSTS = ("www.{a}.{tld}", "{a}-{b}.{tld}", "{b}{a}.{tld}", "m.{a}{b}.{tld}", "blog.{b}-{a}.{tld}", "{a}.{b}.{tld}", "www.{b}-{a}-{b}.{tld}", "{a}{n}.{tld}")
+PATHS = ("/", "/{b}/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/{b}/{n}", "/index.html", "/a/{b}-{n}")
+DOMAINS = ("site.example", "example.org", "example.net", "web.example", "example.com")
+
+
+def labelled_urls(each: int = 8) -> tuple[tuple[str, str, int], ...]:
+    """The labelled URLs, (host, path, 1 to block): `each` for every word of JUNK and PLAIN, and for a name of syllables to each word of JUNK.
+
+    All are put together by this rule from the words above; none is taken from a table of pages.
+    """
+    names = ["".join(SYLLABLES[(7 * k + 5 * j * (k + 1) + j) % len(SYLLABLES)] for j in range(2 + k % 3)) for k in range(len(JUNK))]
+    out = []
+    for k, (word, label) in enumerate([(w, 1) for w in JUNK] + [(w, 0) for w in PLAIN] + [(w, 0) for w in names]):
+        for j in range(each):
+            at = 13 * k + 5 * j
+            words = {"a": word, "b": EITHER[at % len(EITHER)], "n": 37 * at % 9973, "tld": DOMAINS[(k + j) % len(DOMAINS)]}
+            out.append((HOSTS[(k + j) % len(HOSTS)].format(**words), PATHS[(3 * k + j) % len(PATHS)].format(**words), label))
+    return tuple(out)
+
+
+LABELLED = labelled_urls()
 
 
 def host_of(url: Column) -> Column:
@@ -100,19 +92,25 @@ def features(host: str, path: str) -> np.ndarray:
 
 
 def train(rows: tuple[tuple[str, str, int], ...] = LABELLED) -> tuple[np.ndarray, float]:
-    """Weights and offset of the logistic regression, by full gradient steps on unit vectors; always the same."""
+    """Weights and offset of the logistic regression, by full gradient steps (Adam) on unit vectors; always the same."""
     buckets = [features(h, p) for h, p, _ in rows]
     which = np.repeat(np.arange(len(rows)), [len(b) for b in buckets])
     flat = np.concatenate(buckets)
     value = 1 / np.sqrt(np.array([max(1, len(b)) for b in buckets]))[which]
     label = np.array([y for *_, y in rows], float)
-    weight, offset = np.zeros(BUCKETS), 0.0
-    for _ in range(STEPS):
-        score = np.bincount(which, weight[flat] * value, len(rows)) + offset
+    weight, m, v = (np.zeros(BUCKETS + 1) for _ in range(3))
+    for t in range(1, STEPS + 1):
+        score = np.bincount(which, weight[flat] * value, len(rows)) + weight[-1]
         error = (1 / (1 + np.exp(-score)) - label) / len(rows)
-        weight -= RATE * len(rows) / 8 * (np.bincount(flat, error[which] * value, BUCKETS) + PENALTY * weight)
-        offset -= RATE * error.sum()
-    return weight, offset
+        step = np.append(np.bincount(flat, error[which] * value, BUCKETS) + PENALTY * weight[:-1], error.sum())
+        m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step * step
+        weight -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return weight[:-1], float(weight[-1])
+
+
+def probability(host: str, path: str, weight: np.ndarray, offset: float) -> float:
+    on = features(host, path)
+    return float(1 / (1 + np.exp(-(weight[on].sum() / np.sqrt(max(1, len(on))) + offset))))
 
 
 def spam_probability(rows: tuple[tuple[str, str, int], ...] = LABELLED):
@@ -121,11 +119,7 @@ def spam_probability(rows: tuple[tuple[str, str, int], ...] = LABELLED):
 
     @F.pandas_udf(T.DoubleType())
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        out = np.empty(len(host))
-        for k, (h, p) in enumerate(zip(host, path, strict=True)):
-            on = features(h, p)
-            out[k] = weight[on].sum() / np.sqrt(max(1, len(on))) + offset
-        return pd.Series(1 / (1 + np.exp(-out)))
+        return pd.Series([probability(h, p, weight, offset) for h, p in zip(host, path, strict=True)], dtype="float64")
 
     return score
 
