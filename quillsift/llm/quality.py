@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillsift.llm.common import batches_of, fresh
+from quillsift.llm.common import batches_of, cut, fresh
+from quillsift.plans.lineage import forget
 from quillsift.session import plain_unions
 
 #: Most trusted positives and most unlabelled texts that a model is fitted on; the rows with the smallest hashes.
@@ -132,11 +133,11 @@ def fold(row_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(row_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
     """A model from texts labelled 1 outside the held-out fold and from unlabelled texts outside it.
 
-    The class prior is the share of positives among the labelled, one added to either count, where some are labelled
-    negative (this count is all that is learnt from these), and otherwise estimated from positives and unlabelled texts.
+    The class prior is estimated from positives and unlabelled texts, unless one is given; texts labelled otherwise are
+    not learnt from.
     At most `positives` and `unlabelled` texts are read, those with the smallest hashes of their ids, so the same every
     time; only their measures reach the driver. Ids with contradicting labels and null ids are not learnt from; the ids
     of the sample are broadcast, and their number is bounded by the two limits.
@@ -145,12 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     batches_of(spark)
     plain_unions(spark)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold(F.col("id")) != HELD_OUT)).distinct().join(known, "id", "left")
-    good, rest = ids.agg(F.count(F.when(F.col("low") == 1, 1)), F.count(F.when(F.col("high") != 1, 1))).first()
-    prior = (good + 1) / (good + rest + 2) if rest else None
+    ids = cut(docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold(F.col("id")) != HELD_OUT)).distinct().join(known, "id", "left"))  # read twice
     pick = lambda rows, n: rows.select("id").orderBy(F.xxhash64("id"), "id").limit(n)
     some = pick(ids.where("low = 1"), positives).withColumn("y", F.lit(1)).union(pick(ids.where("low is null"), unlabelled).withColumn("y", F.lit(0)))
     rows = [(r["id"], r["y"]) for r in some.collect()]
+    forget(spark, ids)
     if not rows:
         return fit(np.empty((0, SIZE)), np.empty((0, SIZE)))
     sample = spark.createDataFrame(rows, T.StructType([T.StructField("sample_id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType())]))

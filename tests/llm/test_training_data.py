@@ -134,6 +134,19 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([r["predicted"] for r in rows if r["quality"] == 1]) > 0.99
 
 
+def test_estimated_prior_of_the_documents(spark):
+    """The query's prior comes from positives and unlabelled texts; the share of positives among the labelled is near it, though no label 0 was learnt from."""
+    from quillsift.llm.quality import train
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    share = labels.where("quality IS NOT NULL").agg(F.avg("quality")).first()[0]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    prior = train(docs, labels).prior
+    assert abs(prior - share) < 0.15
+    assert train(docs, labels.where("quality = 1")).prior == pytest.approx(prior, abs=0.1)  # without labels 0 these texts count as unlabelled
+
+
 def test_quality_odd_rows(spark, odd):
     from quillsift.llm.quality import classify, keep_good
 
@@ -328,6 +341,39 @@ def test_url_rules_and_parts(spark):
     assert filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_regression_on_held_out_urls(spark):
+    """Four fifths of the labelled URLs judge the rest; words that no labelled URL holds are not claimed to be known."""
+    from quillsift.llm import urls
+
+    rows = urls.LABELLED
+    assert len(rows) == len({r[:2] for r in rows}) > 500
+    for fold in range(5):
+        weight, offset = urls.train(tuple(r for k, r in enumerate(rows) if k % 5 != fold))
+        right = [(urls.probability(h, p, weight, offset) >= 0.5) == bool(y) for k, (h, p, y) in enumerate(rows) if k % 5 == fold]
+        assert np.mean(right) >= 0.9
+    hosts = {r["host"] for sf in ("sf0.001", "sf0.01") for r in urls.op6_url_filters(spark, f"/root/testdata/{sf}").select("host").collect()}
+    assert not hosts & {h for h, _, _ in rows}
+
+
+def test_url_query_against_brute_force(spark):
+    from quillsift.llm import urls
+
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    weight, offset = urls.train()
+    found = {r["page_id"]: r for r in urls.op6_url_filters(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
+    assert len(found) == len(pages)
+    for page in pages:
+        head, mark, rest = (page["url"] or "").partition("://")
+        host = re.split("[/?#]", rest)[0] if mark else ""
+        path = re.split("[?#]", rest[len(host) :])[0] if mark else ""
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(len(d + s), d + s, v) for d, s, v in rules if (host == d or host.endswith("." + d)) and path.startswith(s)]
+        verdict = max(fits)[2] if fits else "block" if urls.probability(host, path, weight, offset) >= 0.5 else "allow"
+        row = found[page["page_id"]]
+        assert (row["host"], row["path"], row["rule"], row["verdict"]) == (host, path, max(fits)[1] if fits else None, verdict)
+
+
 # 7: packing
 
 
