@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,82 +25,86 @@ class Reply:
     no_preference: set[str] = field(default_factory=set)
 
 
-def purify(text: str | None) -> Reply:
-    """Takes negated values and clauses of no preference out of a message.
+#: Any value that can be excluded, as one pattern whose groups are the attributes.
+EXCLUDABLE = r"\b(?:" + "|".join(f"(?P<{attribute}>{words})" for attribute, words in V.EXCLUDABLE_VALUES.items()) + r")\b"
 
-    Overlapping parts are taken out as one, so that words after a negation stay.
-    """
-    plain = " ".join((text or "").split())
-    cuts, excluded, indifferent = [], {}, set()
+
+class Mark(NamedTuple):
+    """A stretch of a message that says what is not wanted: of an attribute this value, or any (None)."""
+
+    start: int
+    end: int
+    attribute: str
+    value: str | None = None
+
+
+def marks(plain: str) -> Iterator[Mark]:
     for clause in re.finditer(V.NO_PREFERENCE, plain, IGNORE):
-        indifferent.add(re.sub(r"\s", "_", clause[1].lower()))
-        cuts.append(clause.span())
-    for attribute, words in V.EXCLUDABLE_VALUES.items():
-        for value in re.finditer(rf"\b({words})\b", plain, IGNORE):
-            reach = max(0, value.start() - V.NEGATION_REACH)
-            negation = re.search(V.NEGATION, plain[reach : value.start()], IGNORE)
-            if negation:
-                excluded.setdefault(attribute, set()).add(value[0].lower())
-                cuts.append((reach + negation.start(), value.end()))
-    kept, at = [], 0
-    for start, end in sorted(cuts):
-        if start > at:
-            kept.append(plain[at:start])
-        at = max(at, end)
-    kept.append(plain[at:])
-    return Reply(" ".join(" ".join(kept).split()).strip(" ,;."), excluded, indifferent)
+        yield Mark(*clause.span(), re.sub(r"\s", "_", clause[1].lower()))
+    for found in re.finditer(EXCLUDABLE, plain, IGNORE):
+        before = plain[: found.start()][-V.NEGATION_REACH :]
+        if negation := re.search(V.NEGATION, before, IGNORE):
+            yield Mark(found.start() - len(before) + negation.start(), found.end(), found.lastgroup, found[0].lower())
+
+
+def purify(text: str | None) -> Reply:
+    """A message with all marked stretches taken out; stretches may overlap, so words after a negation stay."""
+    plain = " ".join((text or "").split())
+    found = list(marks(plain))
+    gone = {at for mark in found for at in range(mark.start, mark.end)}
+    kept = "".join(" " if at in gone else sign for at, sign in enumerate(plain))
+    excluded = {a: {m.value for m in found if m.attribute == a and m.value} for a in dict.fromkeys(m.attribute for m in found if m.value)}
+    return Reply(" ".join(kept.split()).strip(" ,;."), excluded, {m.attribute for m in found if m.value is None})
+
+
+def kinds(colors: tuple[str, ...]) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Kinds of constraints and the words one of which they hold, in the order they are tried."""
+    return (("material", V.MATERIALS), ("color", ("color", *colors)), ("size", V.SIZE_HINTS), ("style", V.STYLE_HINTS), ("use_case", V.USE_HINTS))
 
 
 def kind_of(constraint: str, colors: tuple[str, ...] = V.COLORS) -> str:
     """The attribute that a constraint is about."""
     text = constraint.lower()
-    if re.search(V.BUDGET_HINT, text):
-        return "budget"
-    hints = (("material", V.MATERIALS), ("color", ("color", *colors)), ("size", V.SIZE_HINTS), ("style", V.STYLE_HINTS), ("use_case", V.USE_HINTS))
-    return next((kind for kind, words in hints if any(w in text for w in words)), "feature")
+    tried = [("budget", re.search(V.BUDGET_HINT, text)), *((kind, any(w in text for w in words)) for kind, words in kinds(colors)), ("feature", True)]
+    return next(kind for kind, held in tried if held)
 
 
 def kind_column(constraint: Column, colors: tuple[str, ...] = V.COLORS) -> Column:
     """kind_of() as a column."""
     text = F.lower(blank(constraint))
     kind = F.when(text.rlike(V.BUDGET_HINT), "budget")
-    for name, words in (("material", V.MATERIALS), ("color", ("color", *colors)), ("size", V.SIZE_HINTS), ("style", V.STYLE_HINTS), ("use_case", V.USE_HINTS)):
+    for name, words in kinds(colors):
         kind = kind.when(hits(text, words), name)
     return kind.otherwise("feature")
 
 
+#: How a constraint of a kind names its value; where it does not, its words are looked for, and else it is the value itself.
+NAMED = {"budget": r"(\d+(?:\.\d+)?)", "color": r"color[:\s]+(\w+)"}
+LISTED = {"material": V.MATERIALS, "color": V.COLORS}
+
+
 def value_of(constraint: str, kind: str) -> str:
     """The value that a constraint of this kind states; of several words the first in the list."""
     text = constraint.lower().strip()
-    if kind == "budget":
-        amount = re.search(r"\d+(?:\.\d+)?", constraint)
-        return amount[0] if amount else text
-    if kind == "color" and (named := re.search(r"color[:\s]+(\w+)", text)):
-        return named[1]
-    if kind in ("material", "color"):
-        words = V.MATERIALS if kind == "material" else V.COLORS
-        return next((w for w in words if w in text), text)
-    return re.sub(r"^\w[\w\s]+?:\s*", "", text).strip() or text
+    named = re.findall(NAMED[kind], text) if kind in NAMED else []
+    listed = [w for w in LISTED.get(kind, ()) if w in text]
+    own = [] if kind in NAMED or kind in LISTED else [re.sub(r"^\w[\w\s]+?:\s*", "", text).strip()]
+    return next(filter(None, (*named, *listed, *own)), text)
 
 
 def stated_slots(text: str) -> dict[str, str]:
-    """Slots that patterns find in free text."""
-    plain, found = text.lower(), {}
-    for slot, patterns in V.SLOT_PATTERNS.items():
-        match = next(filter(None, (re.search(p, plain) for p in patterns)), None)
-        if match:
-            found[slot] = match[1]
-    return found
+    """Slots that patterns find in free text; of a slot's patterns the first that does."""
+    found = ((slot, match) for slot, patterns in V.SLOT_PATTERNS.items() for match in (re.search(p, text.lower()) for p in reversed(patterns)) if match)
+    values = {slot: match[1] for slot, match in found}  # the last of the reversed patterns stays
+    return {slot: values[slot] for slot in V.SLOT_PATTERNS if slot in values}
 
 
 def listed_slots(raw: str) -> dict[str, str]:
-    """Slots of constraints between semicolons: of each kind the last, then what patterns find beside."""
-    slots: dict[str, str] = {}
-    for part in filter(None, (p.strip() for p in raw.strip(". ").split(";"))):
-        kind = kind_of(part)
-        slots[kind] = value_of(part, kind)
-        slots |= {k: v for k, v in stated_slots(part).items() if k not in slots}
-    return slots
+    """Slots of constraints between semicolons, in the order they come up: of each kind the last, then what patterns find beside, the first."""
+    said = [(kind_of(part), part, stated_slots(part)) for part in map(str.strip, raw.strip(". ").split(";")) if part]
+    named = {kind: value_of(part, kind) for kind, part, _ in said}
+    beside = {slot: value for *_, found in reversed(said) for slot, value in found.items()}
+    return {slot: (beside | named)[slot] for slot in dict.fromkeys(x for kind, _, found in said for x in (kind, *found))}
 
 
 def coarse_category(categories: Column) -> Column:
