@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions.text import blank
 from quillsift.operators.lexical import ranked
+from quillsift.plans.lineage import settled
 from quillsift.session import plain_unions
 
 #: Queries whose vectors one pass over the documents holds; more are searched in further passes.
@@ -22,44 +24,58 @@ ROWS = 2_048
 def top_k(queries: DataFrame, docs: DataFrame, k: int = 100, block: int = BLOCK) -> DataFrame:
     """query_id, doc_id, rank, score: the k documents (doc_id, vector) with the largest dot product to each query.
 
-    Query vectors go to the executors in blocks of at most `block`; each batch of documents is multiplied with a block
-    and only its own k best for each query leave the task. Null vectors and those of another length match nothing.
+    Query vectors go to the executors in blocks of at most `block`, by a hash of their id. A task multiplies its batches
+    of documents with a block and keeps the k best so far for each query, which leave it once, at its end. Beyond one
+    block, each block's result is a table before the next is read, so the driver holds one block at a time. Null vectors
+    and those of another length match nothing.
     """
-    from pyspark.sql.types import StructField, StructType
-
     plain_unions(docs.sparkSession)
     rows = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    n = rows.count()
-    parts = max(1, -(-n // block))
-    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("doc_id", docs.schema["doc_id"].dataType)]).add("score", "double")
+    parts = max(1, -(-rows.count() // block))
+    kinds = {c: t.simpleString() for c, t in (("query_id", queries.schema["query_id"].dataType), ("doc_id", docs.schema["doc_id"].dataType))}
     typed = docs.where("vector is not null").select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
-    found = None
-    for part in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else rows
-        taken = mine.collect()
-        sizes: dict[int, tuple[list, np.ndarray]] = {}
-        for size in sorted({len(r["vector"]) for r in taken}):
-            own = [r for r in taken if len(r["vector"]) == size]
-            sizes[size] = [r["query_id"] for r in own], np.array([r["vector"] for r in own], np.float64)
-        best = typed.mapInPandas(scan(sizes, k), schema)
-        found = best if found is None else found.unionByName(best)
-    return ranked(found, k)
-
-
-def scan(sizes: dict[int, tuple[list, np.ndarray]], k: int):
+
+    def best(mine: DataFrame) -> DataFrame:
+        sizes: dict[int, tuple[list, list]] = {}
+        for r in mine.collect():
+            ids, vectors = sizes.setdefault(len(r["vector"]), ([], []))
+            ids.append(r["query_id"])
+            vectors.append(r["vector"])
+        matrices = {size: (np.array(ids), np.array(vectors, np.float64)) for size, (ids, vectors) in sizes.items()}
+        return ranked(typed.mapInPandas(scan(matrices, k), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), k)
+
+    if parts == 1:
+        return best(rows)
+    blocks = [settled(best(rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part))) for part in range(parts)]
+    return reduce(DataFrame.unionByName, blocks)
+
+
+def scan(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """queries: by the vectors' length, ids and a matrix with a row for each."""
+
+    def better(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of each row, by score, then by id, as the final ranking goes."""
+        by_id = np.argsort(ids, axis=1, kind="stable")
+        ids, scores = np.take_along_axis(ids, by_id, 1), np.take_along_axis(scores, by_id, 1)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             lengths = batch["vector"].map(len)
-            for size, (ids, matrix) in sizes.items():
+            for size, (_, matrix) in queries.items():
                 own = batch[lengths == size]
                 for start in range(0, len(own), ROWS):
                     docs = own.iloc[start : start + ROWS]
                     scores = matrix @ np.stack(docs["vector"].to_numpy()).astype(np.float64).T
-                    doc = docs["doc_id"].to_numpy()
-                    # by score, then by id, as the final ranking goes
-                    by_id = np.argsort(doc, kind="stable")
+                    ids = docs["doc_id"].to_numpy()
+                    by_id = np.argsort(ids, kind="stable")
                     order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-                    yield pd.DataFrame({"query_id": np.repeat(np.array(ids), order.shape[1]), "doc_id": doc[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()})
+                    found = ids[order], np.take_along_axis(scores, order, 1)
+                    held[size] = better(*(np.concatenate(x, axis=1) for x in zip(held[size], found, strict=True))) if size in held else found
+        for size, (ids, scores) in held.items():
+            yield pd.DataFrame({"query_id": np.repeat(queries[size][0], ids.shape[1]), "doc_id": ids.ravel(), "score": scores.ravel()})
 
     return run
 

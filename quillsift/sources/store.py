@@ -5,17 +5,23 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """df's columns in forms that have a hash: maps as their entries in order, and what holds maps as JSON."""
+    forms = {True: lambda c: F.array_sort(F.map_entries(c)), False: lambda c: F.to_json(F.struct(c))}
+    return [F.col(f.name) if "map<" not in (kind := f.dataType.simpleString()) else forms[kind.startswith("map<") and kind.count("map<") == 1](F.col(f.name)) for f in df.schema.fields]
+
+
 def content_key(df: DataFrame, **settings: str | int | float | bool) -> str:
     """12 hex digits that name a table's rows, in any order, and what is made of them.
 
     Two sums over hashes of the rows, wide enough not to overflow, and their number: one pass, one row to the driver.
     """
-    row = F.xxhash64(*df.columns).cast("decimal(38,0)")
-    again = F.xxhash64(F.lit(1), *df.columns).cast("decimal(38,0)")
+    row = F.xxhash64(*hashable(df)).cast("decimal(38,0)")
+    again = F.xxhash64(F.lit(1), *hashable(df)).cast("decimal(38,0)")
     digest = F.sha1(F.concat_ws("|", F.count("*").cast("string"), F.sum(row).cast("string"), F.sum(again).cast("string"), F.lit(json.dumps(settings, sort_keys=True))))
     return df.agg(F.substring(digest, 1, 12)).first()[0]
 

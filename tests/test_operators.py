@@ -61,6 +61,26 @@ def test_category_filter_never_leaves_nothing(spark):
     assert {(r["query_id"], r["doc_id"]) for r in lexical.filter_by_slots(rows).collect()} == {(1, "a"), (2, "b"), (3, "b")}
 
 
+def test_dense_top_k_over_many_batches(spark):
+    """What a task keeps from batch to batch ends as the best of all, ties by id."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    queries, vectors = rng.integers(-2, 3, (7, 4)).astype(float), rng.integers(-2, 3, (90, 4)).astype(float)
+    q = spark.createDataFrame([(f"q{k}", v.tolist()) for k, v in enumerate(queries)] + [("none", None), ("short", [1.0])], "query_id string, vector array<double>")
+    d = spark.createDataFrame([(f"d{k:02d}", v.tolist()) for k, v in enumerate(vectors)] + [("gone", None)], "doc_id string, vector array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        found = {(r["query_id"], r["rank"]): r["doc_id"] for r in dense.top_k(q, d, 6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first = min(rank for _, rank in found)
+    for k, v in enumerate(queries):
+        want = sorted(range(90), key=lambda j, v=v: (-(vectors[j] @ v), f"d{j:02d}"))[:6]
+        assert [found[f"q{k}", first + r] for r in range(6)] == [f"d{j:02d}" for j in want]
+    assert len(found) == 42
+
+
 def test_dense_top_k_in_blocks(spark):
     docs = spark.createDataFrame([(k, [math.cos(k), math.sin(k)]) for k in range(50)] + [(99, None), (98, [1.0])], "doc_id long, vector array<double>")
     queries = spark.createDataFrame([(k, [math.cos(k), math.sin(k)]) for k in (3, 7, 9)] + [(4, None)], "query_id long, vector array<double>")

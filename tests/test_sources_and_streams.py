@@ -54,6 +54,16 @@ def test_index_on_disk(spark, lines, tmp_path):
     assert sorted(map(str, index.postings.collect())) == sorted(map(str, again.postings.collect()))
 
 
+def test_content_key_of_a_catalog_with_maps(lines):
+    key = store.content_key(lines)
+    assert len(key) == 12 and key == store.content_key(lines.repartition(3))
+    turned = lines.withColumn("details", F.map_from_entries(F.reverse(F.map_entries("details"))))
+    assert key == store.content_key(turned)  # a map has no order
+    assert key != store.content_key(lines.withColumn("details", F.map_concat("details", F.create_map(F.lit("one more"), F.lit("x")))))
+    nested = lines.withColumn("details", F.struct("details"))
+    assert store.content_key(nested) == store.content_key(nested)
+
+
 def test_content_key_and_store(spark, tmp_path):
     rows = spark.range(100).withColumn("x", F.col("id") * 2)
     key = store.content_key(rows, model="m")
