@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from quillsift.functions import vocabulary as V
-from quillsift.plans.queries import SEARCHES
+from quillsift.plans.queries import FIXED_WEIGHTS, SEARCHES
 
 SQL: dict[str, str] = {}
 
@@ -328,6 +328,27 @@ SQL["rerank_topk"] = f"WITH {pool(50)}, {evidence('pool')}, {rescored('pool')},
 TRACKED = f"kept2 AS (SELECT k.query_id, k.doc_id, k.rank, k.score FROM kept k JOIN {STATE} s ON s.query_id = k.query_id AND s.track = 'buying' UNION ALL SELECT p.query_id, p.doc_id, p.rank, p.score FROM pool p JOIN {STATE} s ON s.query_id = p.query_id AND s.track <> 'buying')"
 FILTERED = f"{slot_filtered('pool')}, {TRACKED}, cut AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) - 1 AS rank FROM kept2)"
 SQL["hybrid_search"] = f"WITH {DYNAMIC_BM25}, {ranked('scored', 300, 'pool')}, {FILTERED}, {evidence('cut')}, {rescored('cut')}, {RERANKED}"
+TURN = f"{DYNAMIC_BM25}, {ranked('scored', 300, 'pool')}, {FILTERED}, {evidence('cut')}, {rescored('cut')}, {ranked('re', 100, 'a0', 'score DESC, before_')}"
+
+
+def encoded_turn(product: str, opened: str, weights: str, two: str = "SELECT NULL AS query_id, 0.0 AS w_identity, 0.0 AS w_attribute") -> str:
+    """opened: when a search that browses needs vectors. weights: lexical and dense, of state. two: query_id, w_identity, w_attribute."""
+    return f"""WITH {TURN}, {VECTORS}, two AS ({two}),
+    state AS (SELECT s.*, coalesce(n.n, 0) AS found, coalesce(c.confidence, 0.0) AS sure FROM {STATE} s LEFT JOIN (SELECT query_id, count(*) AS n FROM a0 GROUP BY query_id) n ON n.query_id = s.query_id LEFT JOIN {confidence('a0')} c ON c.query_id = s.query_id),
+    opened AS (SELECT * FROM state s WHERE track <> 'buying' AND ({opened})),
+    near AS (SELECT o.query_id, d.doc_id, {product} AS score FROM opened o JOIN v q ON q.doc_id = 10 * o.query_id LEFT JOIN two t ON t.query_id = o.query_id JOIN (SELECT v.* FROM v JOIN prod p ON p.doc_id = v.doc_id) d ON true), {ranked('near', 100, 'b')},
+    a AS (SELECT query_id, doc_id, rank FROM a0 WHERE query_id IN (SELECT query_id FROM opened)),
+    {fused(f"SELECT s.query_id, {weights} FROM opened s LEFT JOIN {confidence('b')} cb ON cb.query_id = s.query_id", 100)}
+    {SHOWN} UNION ALL SELECT query_id, doc_id, rank, round(score, 6) AS score FROM a0 WHERE query_id NOT IN (SELECT query_id FROM opened)"""
+
+
+BOTH_VECTORS = rows([(q, *two_weights(slots, conf)) for q, _, slots, conf, *_ in SEARCHES], "query_id w_identity w_attribute", "BIGINT DOUBLE DOUBLE")
+EVIDENT = "greatest(0.35, least(0.90, (CASE s.n_slots WHEN 0 THEN 0.50 WHEN 1 THEN 0.60 ELSE 0.75 END) + 0.10 * (s.sure - coalesce(cb.confidence, 0.0))))"
+SQL["hybrid_dense_search"] = encoded_turn(
+    f"t.w_identity * {FIRST} + t.w_attribute * {SECOND}", "found < 20 OR (coalesce(category, '') = '' AND n_slots <= 1 AND sure <= 0.12)", f"{EVIDENT} AS lw, 1 - {EVIDENT} AS dw", f"SELECT * FROM {BOTH_VECTORS} x"
+)
+GIVEN = [f"(CASE s.n_slots {' '.join(f'WHEN {n} THEN {pair[k]}' for n, pair in enumerate(FIXED_WEIGHTS['browsing_weights']))} ELSE {FIXED_WEIGHTS[base]} END)" for k, base in enumerate(("bm25_base", "dense_base"))]
+SQL["hybrid_dense_fixed"] = encoded_turn("list_dot_product(q.x, d.x)", "true", f"{GIVEN[0]} AS lw, {GIVEN[1]} AS dw")
 SQL["merge_named_order"] = f"""WITH {pool(20)} SELECT query_id, doc_id, new AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 3 = 2 THEN -rank END NULLS LAST, rank) - 1 AS new FROM pool) x WHERE new < 10"""
 BUDGET_ONLY = f"kept AS (SELECT r.*, r.rank AS before_ FROM ranked300 r JOIN {STATE} s ON s.query_id = r.query_id JOIN prod p ON p.doc_id = r.doc_id WHERE try_cast(s.budget AS DOUBLE) IS NULL OR p.price IS NULL OR p.price <= try_cast(s.budget AS DOUBLE))"
 SQL["variant_search"] = f"WITH {PART_BM25}, {ranked('scored', 30, 'ranked300')}, {BUDGET_ONLY}, again AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY before_) - 1 AS rank FROM kept) SELECT query_id, doc_id, rank, round(score, 6) AS score FROM again WHERE rank < 10"

@@ -371,9 +371,35 @@ def merge_named_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(rerank.merge_order(found, named))
 
 
+def encoded_turn(spark: SparkSession, sf_dir: str, two: bool, **settings) -> DataFrame:
+    """What each search over parts retrieves, with vectors for parts whose number has one; a search has that of ten times its number."""
+    products, found = parts(spark, sf_dir), catalog.embeddings(spark, sf_dir)
+    shape = [F.slice("vector", 1, 32).alias("identity"), F.slice("vector", 33, 32).alias("attribute")] if two else [F.col("vector")]
+    asked = searches(spark).drop("terms")
+    sessions = asked.join(found.select((F.col("doc_id") / 10).alias("query_id"), *shape), "query_id", "left")
+    encoded = found.select("doc_id", *shape).join(products.select("doc_id"), "doc_id", "left_semi")
+    return shown(Engine(products, product_index(products), encoded, config.load(settings)).retrieve(sessions))
+
+
+@query
+def hybrid_dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical candidates, fused where the gate opens with those by both vectors, by weights that both lists set."""
+    return encoded_turn(spark, sf_dir, True)
+
+
+#: Settings under which the weights of both lists are given, and don't add up to one.
+FIXED_WEIGHTS = {"use_dense_risk_gate": False, "use_adaptive_fusion": False, "browsing_weights": [[0.50, 0.45], [0.60, 0.30]], "bm25_base": 0.75, "dense_base": 0.20}
+
+
+@query
+def hybrid_dense_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical candidates of every search that browses, fused with those by one vector, by given weights."""
+    return encoded_turn(spark, sf_dir, False, **FIXED_WEIGHTS)
+
+
 @query
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One whole turn of each search over parts: retrieval, rescoring, reranking."""
+    """One whole turn of each search over parts, without vectors: retrieval, rescoring, reranking."""
     products = parts(spark, sf_dir)
     found, _ = Engine(products, product_index(products), settings=config.load({"use_dense": False})).turn(searches(spark).drop("terms"))
     return shown(found)

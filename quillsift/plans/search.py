@@ -77,13 +77,14 @@ class Engine:
             near = dense.two_field_top_k(asking.withColumn("w_identity", identity).withColumn("w_attribute", attribute), self.encoded, s["retrieval_top_k"])
         else:
             near = dense.top_k(asking, self.encoded, s["retrieval_top_k"])
-        stages = tuple(w for w, _ in s["browsing_weights"])
-        weight = fusion.stage_weight(F.col("n_slots"), s["bm25_base"], stages)
+        early = list(zip(*s["browsing_weights"], strict=True)) or [(), ()]
+        weight, other = (fusion.stage_weight(F.col("n_slots"), base, stages) for base, stages in zip((s["bm25_base"], s["dense_base"]), early, strict=True))
         sure = fusion.confidence(near).withColumnRenamed("confidence", "dense_confidence")
         both = open_.join(sure, "query_id", "left").withColumn("dense_confidence", F.coalesce("dense_confidence", F.lit(0.0)))
         if s["use_adaptive_fusion"]:
             weight = fusion.adaptive_weight(F.col("n_slots"), weight, F.col("confidence"), F.col("dense_confidence"))
-        weights = both.select("query_id", weight.alias("lexical_weight"), (1 - weight).alias("dense_weight"))
+            other = 1 - weight
+        weights = both.select("query_id", weight.alias("lexical_weight"), other.alias("dense_weight"))
         fused = fusion.fuse(found.join(weights.select("query_id"), "query_id", "left_semi"), near, weights, s["retrieval_top_k"], s["rrf_k"])
         rest = found.join(weights.select("query_id"), "query_id", "left_anti").select("query_id", "doc_id", "rank", "score")
         return rest.unionByName(fused.select("query_id", "doc_id", "rank", "score"))
