@@ -170,8 +170,6 @@ ent AS (SELECT query_id, attribute, entropy FROM {entropies('long', 'query_id, a
 scores AS (SELECT query_id, attribute, ord, n, n * 1.0 / pool AS coverage, n * 1.0 / pool * {blend('n', 'coalesce(entropy, 0.0)', GLOBAL)} AS score FROM (SELECT s.*, e.entropy FROM sizes s LEFT JOIN ent e ON e.query_id = s.query_id AND e.attribute = s.attribute) j)"""
 SQL["attr_entropy"] = f"WITH {ATTR_SCORES} SELECT query_id, attribute, n, round(coverage, 6) AS coverage, round(score, 6) AS score FROM scores"
 SQL["normalized_entropy"] = f"SELECT user_id, n, round(entropy, 6) AS entropy FROM {entropies('events', 'user_id', 'event_type')} e"
-FEW = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) f WHERE k <= user_id % 15)"
-SQL["blended_entropy"] = f"SELECT user_id, n, round({blend('n', 'entropy', '0.73')}, 6) AS entropy FROM {entropies(FEW + ' g', 'user_id', 'event_type')} e"
 DAYS = "(SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events)"
 SQL["blended_entropy_by_day"] = f"SELECT user_id, day, n, round({blend('n', 'entropy', '0.73')}, 6) AS entropy FROM {entropies(DAYS + ' g', 'user_id, day', 'event_type')} e"
 LEFT = f"""asking AS (SELECT DISTINCT p_type AS query_id FROM part), left_ AS (SELECT a.query_id, s.attribute, s.ord, s.score FROM asking a JOIN scores s ON s.query_id = a.query_id

@@ -191,15 +191,6 @@ def normalized_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "n", six("entropy").alias("entropy"))
 
 
-@query
-def blended_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy of each user's first events, blended with a fixed one while they are few."""
-    events = table(spark, sf_dir, "events")
-    few = events.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where(F.col("k") <= F.col("user_id") % 15)
-    found = clarify.entropies(few, ["user_id"], "event_type")
-    return found.select("user_id", "n", six(clarify.blended(F.col("n"), F.col("entropy"), F.lit(0.73))).alias("entropy"))
-
-
 @query
 def blended_entropy_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of all of each user's events of a day, blended with a fixed one where they are few."""
