@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import lower_ascii
 from quillsift.session import plain_unions
 
-#: Words in a gram. Templates have GRAM to 64 + GRAM - 1 words, since their positions are bits of a long.
+#: Words in a gram; templates have as many or more.
 GRAM = 3
-#: Diagonals this close to the one before belong to one span: that many words may be put in or left out.
+#: Diagonals this close to the one before belong to one span: that many words may be put in or left out in one place.
 SLACK = 2
+#: In a whole span as many words may be put in or left out, or one for so many grams of the template where that is more.
+DRIFT = 8
 #: Least share of a template's grams that a span must hold.
 COVERAGE = 0.8
 
@@ -46,8 +48,8 @@ def gram(words: Column, at: Column) -> list[Column]:
 def positions(spark: SparkSession, base: tuple[tuple[str, str], ...], notices: tuple[tuple[str, str], ...]) -> DataFrame:
     """One row for each gram of each template, and one, of template -1, for the end of a document."""
     rows = [(k, label, k < len(base), text.split()) for k, (text, label) in enumerate((*base, *notices))]
-    if any(not GRAM <= len(words) < 64 + GRAM for *_, words in rows):
-        raise ValueError(f"a template has {GRAM} to {63 + GRAM} words")
+    if any(len(words) < GRAM for *_, words in rows):
+        raise ValueError(f"a template has {GRAM} words or more")
     plain_unions(spark)
     table = spark.createDataFrame(rows, "template int, label string, base boolean, words array<string>")
     grams = table.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - GRAM)).alias("at"))
@@ -62,8 +64,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Every gram of GRAM words of every text is joined by its hash (and its words, so a collision counts for nothing) to
     the places where templates hold it. Matches on one diagonal, of equal difference between the word in the text and
     the word in the template, vote together. A base phrase stands where all of its grams share a diagonal. Of a notice,
-    diagonals at most `slack` apart are merged, and the merged span is kept if it holds `coverage` of the notice's
-    grams. spans: array of (label, base, start, coverage), start the word, from 0, at which the template begins.
+    diagonals at most `slack` from the one before are merged, as far as the drift goes: from a span's first diagonal to
+    its last it is at most `slack`, or an eighth of the notice's grams where that is more, so a span is at most that much
+    longer or shorter than the notice and no word stands further from its place. The span is kept if it holds `coverage`
+    of the notice's grams; of such spans whose first diagonals are that close the one with most grams stays, of equal
+    ones the first. spans: array of (label, base, start, coverage), start the word, from 0, at which the template begins.
 
     The templates, a fixed parameter, are broadcast; no text is shuffled, only matches and one row for each document.
     Null and empty texts have no words and no spans. Rows are told apart even if they share an id or have none. An
@@ -83,15 +88,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     votes = votes.select("row", "id", "n_words", "template", "label", "base", "grams", "at", (F.col("pos") - F.col("at")).alias("diagonal")).repartition("row")
     # from here on everything stays in the partition of its document
     key = ["row", "id", "n_words", "template", "label", "base", "grams"]
-    lines = votes.groupBy(*key, "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("held"))
+    lines = votes.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("held"))
     window = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.when((F.col("diagonal") - F.lag("diagonal").over(window) <= slack) & ~F.col("base"), 0).otherwise(1)
-    lines = lines.withColumn("apart", apart).withColumn("span", F.sum("apart").over(window))
-    spans = lines.groupBy(*key, "span").agg(F.min("diagonal").alias("start"), F.bit_or("held").alias("held"))
-    share = F.when(F.col("grams") > 0, F.bit_count("held") / F.col("grams"))
-    spans = spans.withColumn("share", share)
-    good = (F.col("template") >= 0) & F.when(F.col("base"), F.col("share") == 1).otherwise(F.col("share") >= coverage)
-    found = F.collect_list(F.when(good, F.struct("label", "base", F.greatest("start", F.lit(0)).cast("long").alias("start"), F.col("share").alias("coverage"))))
+    chains = lines.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(window))
+    # in units of the drift, which differs from template to template; half a diagonal more keeps rounding out of the frames
+    half = 0.5 / max(slack, 1, *(len(text.split()) // DRIFT for text, _ in notices))
+    chains = chains.withColumn("place", F.col("diagonal") / F.greatest(F.lit(slack), F.lit(1), F.floor(F.col("grams") / DRIFT)))
+    frame = "OVER (PARTITION BY row, template, chain ORDER BY place RANGE BETWEEN"
+    spans = chains.withColumn("held", F.expr(f"array_distinct(flatten(collect_list(held) {frame} CURRENT ROW AND {1 + half}D FOLLOWING)))"))
+    spans = spans.withColumn("share", F.when(F.col("grams") > 0, F.size("held") / F.col("grams")))
+    spans = spans.withColumn("best", F.expr(f"max(share) {frame} {1 + half}D PRECEDING AND {1 + half}D FOLLOWING)"))
+    spans = spans.withColumn("before", F.expr(f"max(share) {frame} {1 + half}D PRECEDING AND {half}D PRECEDING)"))
+    first = (F.col("share") == F.col("best")) & (F.col("share") > F.coalesce("before", F.lit(0.0)))
+    good = (F.col("template") >= 0) & F.when(F.col("base"), F.col("share") == 1).otherwise((F.col("share") >= coverage) & first)
+    found = F.collect_list(F.when(good, F.struct("label", "base", F.greatest("diagonal", F.lit(0)).cast("long").alias("start"), F.col("share").alias("coverage"))))
     return spans.groupBy("row", "id", "n_words").agg(F.array_sort(found).alias("spans")).select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "spans")
 
 

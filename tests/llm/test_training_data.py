@@ -120,6 +120,50 @@ def test_license_notice_with_inserted_word(spark):
     assert [s["label"] for s in row[0]["spans"]] == ["bsd"] and row[0]["spans"][0]["start"] == 1 and row[1]["spans"] == []
 
 
+def best_span(words, notice, slack):
+    """Largest share of the notice's grams on diagonals as far apart as the drift allows, by trying every first diagonal."""
+    grams, drift = [notice[k : k + 3] for k in range(len(notice) - 2)], max(slack, (len(notice) - 2) // 8)
+    held = [(k - at, at) for k in range(len(words) - 2) for at, g in enumerate(grams) if words[k : k + 3] == g]
+    return max((len({at for d, at in held if start <= d <= start + drift}) / len(grams) for start, _ in held), default=0.0)
+
+
+def test_license_labels_against_every_diagonal(spark, texts):
+    from quillsift.llm.licenses import NOTICES, scan_licenses
+
+    rng, rows = random.Random(7), list(texts.values())[:60]
+    for notice, _ in NOTICES:
+        for edits in (0, 1, 2, 3, 5):
+            words = notice.split()
+            for _ in range(edits):
+                k = rng.randrange(len(words))
+                words[k : k + rng.choice((0, 0, 1))] = rng.choice((["really"], ["as", "such"], []))
+            rows.append(" ".join([*["before"] * rng.randrange(4), *words, "after", *words[::-1], *words[len(words) // 2 :], *words[: len(words) // 2]]))
+    found = scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    for row in found:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in rows[row["doc_id"]] or ""))
+        shares = [(label, best_span(words, notice.split(), 2)) for notice, label in NOTICES]
+        assert {s["label"] for s in row["spans"] if not s["base"]} == {label for label, share in shares if share >= 0.8}
+        kept = [share for _, share in shares if share >= 0.8]
+        assert max((s["coverage"] for s in row["spans"] if not s["base"]), default=0.0) == pytest.approx(max(kept, default=0.0))
+    assert len(found) == len(rows) and sum(bool(r["spans"]) for r in found) > 20
+
+
+def test_license_long_template_and_drift(spark):
+    from quillsift.llm.licenses import scan_licenses
+
+    words = [f"w{k}" for k in range(400)]
+    long = " ".join(words)
+    put_in = " ".join(w + (" new" if k % 40 == 20 else "") for k, w in enumerate(words))
+    halves = " ".join(words[200:] + words[:200])
+    short = [f"v{k}" for k in range(32)]
+    drifting = " ".join(w + (" x y" if k % 6 == 5 else "") for k, w in enumerate(short))
+    docs = spark.createDataFrame([(1, long), (2, put_in), (3, halves), (4, drifting), (5, f"{long} and {long}")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in scan_licenses(docs, notices=((long, "long"), (" ".join(short), "short")), coverage=0.6).collect()}
+    assert [s["coverage"] for s in found[1]] == [1.0] and [s["start"] for s in found[5]] == [0, 401]
+    assert [s["coverage"] for s in found[2]] == [pytest.approx((398 - 20) / 398)]
+    assert found[3] == [] and found[4] == []
+
+
 # 2: quality
 
 
