@@ -384,9 +384,9 @@ SQL["scenario_counts"] = "SELECT c_mktsegment AS scenario_type, count(*) AS n FR
 SQL["valid_recommendations"] = """WITH named AS (SELECT l_orderkey AS query_id, l_linenumber AS position, trim(CASE WHEN l_partkey % 11 = 0 THEN ' ' WHEN l_partkey % 7 = 0 THEN 'none' WHEN l_partkey % 5 = 0 THEN ' ' || l_partkey || ' ' ELSE CAST(l_partkey % 50 AS VARCHAR) END) AS doc_id FROM lineitem),
 first_ AS (SELECT query_id, doc_id, min(position) AS position FROM named WHERE doc_id IN (SELECT CAST(p_partkey AS VARCHAR) FROM part) GROUP BY query_id, doc_id)
 SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY position, doc_id) AS rank FROM first_) x WHERE rank <= 3"""
-SQL["eligible_targets"] = """SELECT p_partkey AS doc_id FROM part WHERE coalesce(p_name, '') <> '' AND coalesce(p_type, '') <> ''
-AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_linenumber = 1)
-AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 2)"""
+SQL["eligible_targets_by_quantity"] = """SELECT p_partkey AS doc_id FROM part WHERE coalesce(p_name, '') <> '' AND coalesce(p_type, '') <> ''
+AND NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_quantity = 50 AND l_partkey = p_partkey)
+AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 AND l_partkey = p_partkey)"""
 
 
 def kind(column: str, colors: tuple[str, ...]) -> str:

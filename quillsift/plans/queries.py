@@ -506,11 +506,11 @@ def valid_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def eligible_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with a name and a type, without those on line 1 of an urgent order or on a returned line 2; other lines exclude none."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    urgent = lines.join(orders.where("o_orderpriority = '1-URGENT'"), lines["l_orderkey"] == orders["o_orderkey"], "left_semi").where("l_linenumber = 1").select(F.col("l_partkey").alias("doc_id"))
-    returned = lines.where("l_returnflag = 'R' and l_linenumber = 2").select(F.col("l_partkey").alias("doc_id"))
+def eligible_targets_by_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a name and a type, without those that any line of an urgent order, or any returned line, holds fifty of."""
+    large, orders = table(spark, sf_dir, "lineitem").where("l_quantity = 50"), table(spark, sf_dir, "orders")
+    urgent = large.join(orders.where("o_orderpriority = '1-URGENT'"), large["l_orderkey"] == orders["o_orderkey"], "left_semi").select(F.col("l_partkey").alias("doc_id"))
+    returned = large.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("doc_id"))
     return selection.eligible(parts(spark, sf_dir), urgent, returned).select("doc_id")
 
 
