@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import cut
-from quillsift.session import plain_unions
+from quillsift.session import joined_in_place, plain_unions
 
 #: A paragraph is a line; longer lines are cut into parts of so many code points.
 PARAGRAPH = 512
@@ -326,9 +326,11 @@ FOUND = {(0, LINES): "edited_lines", (1, LINES): "next_lines", (0, SHORT): "edit
 
 
 def compared(rows: DataFrame, cells: int, rounds: int) -> DataFrame:
-    """bucket, row, id, n_chars, edited_sha256, two fingerprints, n_lines, n_short, and of each of FOUND only_own, only_other and open.
+    """id, n_chars, edited_sha256, two fingerprints, n_lines, n_short, of each of FOUND only_own, only_other and open, and text and next.
 
-    open: cells that peeling has left; the counts hold where there are none.
+    open: cells that peeling has left; the counts hold where there are none. text and next are kept for the rows that
+    have any, else null. Texts and counts are both dealt by bucket, so that under joined_in_place() neither is shuffled
+    to meet.
     """
     rows = edit(rows)
     left = peel_cells(subtracted(rows, cells), ["bucket", "row"], rounds)
@@ -344,25 +346,26 @@ def compared(rows: DataFrame, cells: int, rounds: int) -> DataFrame:
     for kind in (OWN_PRINT, NEW_PRINT):
         sums += [F.bit_xor(F.when(number == 8 + kind, F.col(c)).otherwise(F.lit(0).cast("long"))).alias(f"{c}{kind}") for c in ("key", "check")]
     counts = left.groupBy("bucket", "row").agg(*sums)
-    known = rows.select("bucket", "row", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    known = rows.select("bucket", "row", "id", "text", "next", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     joined = known.join(counts, ["bucket", "row"], "left")
     print_of = lambda kind: F.lower(F.concat(*(F.lpad(F.hex(F.coalesce(F.col(f"{c}{kind}"), F.lit(0).cast("long"))), 16, "0") for c in ("key", "check"))))
     numbers = [F.coalesce(F.col(f"{name}_{c}"), F.lit(0).cast("long")).alias(f"{name}_{c}") for name in FOUND.values() for c in ("own", "other", "open")]
     numbers += [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_short")]
-    return joined.select("bucket", "row", "id", "n_chars", "edited_sha256", print_of(OWN_PRINT).alias("fingerprint"), print_of(NEW_PRINT).alias("edited_fingerprint"), *numbers)
+    texts = [F.when(F.greatest(*(F.coalesce(F.col(f"{name}_open"), F.lit(0)) for name in FOUND.values())) > 0, F.col(c)).alias(c) for c in ("text", "next")]
+    return joined.select("id", "n_chars", "edited_sha256", print_of(OWN_PRINT).alias("fingerprint"), print_of(NEW_PRINT).alias("edited_fingerprint"), *numbers, *texts)
 
 
-def again(rows: DataFrame, failed: DataFrame) -> DataFrame:
-    """compared() for the rows whose peeling failed: by small sketches in groups, larger and larger, which end exactly."""
-    key = ["bucket", "row"]
-    new = {"edited_lines": ("lines", digests(F.col("edited"))), "next_lines": ("lines", F.col("next_lines")), "edited_short": ("short", digests(F.col("edited"), PARTS)), "next_short": ("short", F.col("next_short"))}
-    some = edit(rows).join(failed.select(*key, "fingerprint", "edited_fingerprint"), key)
-    some = some.select(*key, "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", F.size("lines").cast("long").alias("n_lines"), F.size("short").cast("long").alias("n_short"), *(difference(F.col(own), other).alias(name) for name, (own, other) in new.items()))
+def again(failed: DataFrame) -> DataFrame:
+    """compared() for its rows whose peeling failed, from their texts: by small sketches in groups, larger and larger, which end exactly."""
+    same = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "n_lines", "n_short"]
+    # columns of their own, as difference() names its arrays more than once
+    made = edit(failed).select(*same, *(of.alias(f"{c}_{kind}_") for c in ("text", "edited", "next") for kind, of in (("lines", digests(F.col(c))), ("short", digests(F.col(c), PARTS)))))
+    some = made.select(*same, *(difference(F.col(f"text_{name.split('_')[1]}_"), F.col(f"{name}_")).alias(name) for name in FOUND.values()))
     only = lambda name, sign: F.size(F.filter(name, lambda x: x["sign"] == sign)).cast("long")
     numbers = []
     for name in FOUND.values():
         numbers += [only(name, 1).alias(f"{name}_own"), only(name, -1).alias(f"{name}_other"), F.lit(0).cast("long").alias(f"{name}_open")]
-    return some.select(*key, "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "n_lines", "n_short", *numbers)
+    return some.select(*same, *numbers)
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,10 +393,11 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     plain_unions(docs.sparkSession)
     rows = with_next(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    known = cut(compared(rows, CELLS, ROUNDS))
-    failed = known.where(" or ".join(f"{name}_open > 0" for name in FOUND.values()))
+    with joined_in_place(docs.sparkSession):
+        known = cut(compared(rows, CELLS, ROUNDS))
+    failed = known.where("text is not null")
     if not failed.isEmpty():
-        known = known.join(failed.select("bucket", "row"), ["bucket", "row"], "left_anti").unionByName(cut(again(rows, failed)))
+        known = known.where("text is null").drop("text", "next").unionByName(cut(again(failed)))
 
     def likeness(name: str, n: str) -> Column:
         every = F.col(n) + F.col(f"{name}_other")

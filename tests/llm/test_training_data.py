@@ -629,6 +629,34 @@ def test_fingerprints_whose_peeling_fails_are_sketched_again(spark, docs, monkey
     assert sorted(sketches.compare_versions(some).select(*columns).collect()) == want
 
 
+def shuffled(spark, job):
+    """Bytes that job's stages write for other stages."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(k) for k in range(found.size()))}
+
+    before = max(stages(), default=(-1, 0))
+    job()
+    return sum(n for stage, n in stages().items() if stage > before)
+
+
+def test_texts_are_shuffled_once_also_where_peeling_fails(spark, docs, odd, monkeypatch):
+    from quillsift.llm import sketches
+
+    some, every = docs.select("doc_id", "text"), lambda: sorted(sketches.compare_versions(odd).drop("fingerprint", "edited_fingerprint").collect(), key=str)  # another number of cells, other fingerprints
+    want, joins = every(), "spark.sql.requireAllClusterKeysForCoPartition"
+    monkeypatch.setattr(sketches, "CELLS", 1)
+    monkeypatch.setattr(sketches, "ROUNDS", 2)
+    rows = sketches.with_next(some.selectExpr("doc_id AS id", "coalesce(text, '') AS text"))
+    once = shuffled(spark, lambda: rows.select("id", "text", "next").collect())
+    before = spark.conf.get(joins)
+    assert once > 100_000 and shuffled(spark, lambda: sketches.compare_versions(some).collect()) < 1.3 * once
+    assert spark.conf.get(joins) == before and every() == want
+
+
 def test_difference_ends_exactly_where_no_sketch_peels(spark):
     from quillsift.llm.sketches import difference
 
