@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillsift.functions import vocabulary as V
-from quillsift.functions.text import blank, hits, joined, last, map_pairs_text
+from quillsift.functions.text import blank, hits, joined, last, map_pairs_text, once
 
 IGNORE = re.IGNORECASE
 
@@ -131,23 +131,23 @@ def intent_card(product: dict[str, Column], most: int = 180) -> Column:
 
     Material first, color second, then features and details, the budget last; two of them hard, two soft.
     """
-    text = matching_text(product)
-    word = lambda attribute: F.lower(F.nullif(F.regexp_extract(text, rf"(?iU)\b({V.CATALOG_VALUES[attribute]})\b", 1), F.lit("")))
     none = F.lit([]).cast("array<string>")
     stated = F.concat(F.coalesce(F.filter(product["features"], lambda f: f.isNotNull() & (f != "")), none), F.coalesce(F.transform(F.filter(F.map_entries(product["details"]), lambda e: e["value"].isNotNull() & (e["value"] != "")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), none))
-    material, color = word("material"), F.concat(F.lit("color: "), word("color"))
-    budget = F.concat(F.lit("budget around $"), product["price"].cast("string"))
-    first = F.when(material.isNotNull(), F.concat(F.array(material), stated)).otherwise(stated)
-    placed = F.when(color.isNotNull(), F.concat(F.slice(first, 1, 1), F.array(color), F.slice(first, F.lit(2), F.greatest(F.size(first), F.lit(1))))).otherwise(first)
-    wanted = F.when(F.nullif(budget, F.lit("budget around $")).isNotNull(), F.concat(placed, F.array(budget))).otherwise(placed)
+    # arrays of one text or none, so that each is named once
+    word = lambda text, attribute: F.filter(F.array(F.lower(F.regexp_extract(text, rf"(?iU)\b({V.CATALOG_VALUES[attribute]})\b", 1))), lambda x: x != "")
+    color = lambda text: F.transform(word(text, "color"), lambda x: F.concat(F.lit("color: "), x))
+    budget = F.filter(F.array(F.concat(F.lit("budget around $"), product["price"].cast("string"))), lambda x: x.isNotNull() & (x != "budget around $"))
+    found = once(matching_text(product), lambda text: F.struct(F.concat(word(text, "material"), stated).alias("first"), color(text).alias("color")))
+    wanted = once(found, lambda x: F.concat(F.slice(x["first"], 1, 1), x["color"], F.slice(x["first"], F.lit(2), F.greatest(F.size(x["first"]), F.lit(1))), budget))
     clean = F.array_distinct(F.filter(F.transform(wanted, lambda c: clean_constraint(c, most)), lambda c: c != ""))
     title = clean_constraint(F.coalesce(F.nullif(product["title"], F.lit("")), F.lit("product")), most)
-    constraints = F.when(F.size(clean) > 0, clean).otherwise(F.array(title))
-    return F.struct(
+    constraints = once(clean, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(title)))
+    card = lambda c: F.struct(
         title.alias("target_category"),
-        F.slice(constraints, 1, 2).alias("hard_constraints"),
-        F.when(F.size(constraints) > 2, F.slice(constraints, 3, 2)).otherwise(F.slice(constraints, 1, 1)).alias("soft_preferences"),
+        F.slice(c, 1, 2).alias("hard_constraints"),
+        F.when(F.size(c) > 2, F.slice(c, 3, 2)).otherwise(F.slice(c, 1, 1)).alias("soft_preferences"),
     )
+    return once(constraints, card)
 
 
 def opening(scenario: Column, category: Column, hard: Column, old_value: Column) -> Column:

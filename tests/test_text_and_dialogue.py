@@ -131,3 +131,22 @@ def test_coarse_category(spark):
 
 def test_compatibility_composition(spark):
     assert one(spark, X.nfkc(F.col("t")), t=("ﬁne ①", "string")) == "fine 1"
+
+
+def test_intent_card_names_each_step_once(spark, monkeypatch):
+    """Both patterns are searched once a part, and by tasks whose number follows the parts, not the files."""
+    from quillsift.plans import queries
+
+    monkeypatch.setattr(queries, "CARDS", 50)
+    found = queries.intent_cards(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 2 and found.rdd.getNumPartitions() == 4 == -(-found.count() // 50)
+
+
+def test_intent_card_without_features(spark):
+    kinds = "title string, categories array<string>, features array<string>, details map<string,string>, description string, store string, price int"
+    rows = [(None, None, None, None, None, None, None), ("x", ["y"], ["", None, "a", "a"], {"k": ""}, "Red wool", None, 5)]
+    table = spark.createDataFrame(rows, kinds)
+    empty, full = (r["c"] for r in table.select(D.intent_card({f: F.col(f) for f in table.columns}).alias("c")).collect())
+    assert empty["hard_constraints"] == empty["soft_preferences"] == ["product"] and empty["target_category"] == "product"
+    assert full["hard_constraints"] == ["wool", "color: red"] and full["soft_preferences"] == ["a", "budget around $5"]
