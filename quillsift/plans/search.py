@@ -18,10 +18,10 @@ from quillsift.sources import config
 FIELDS = ("title", "categories", "features", "description", "store", "details")
 
 
-def product_index(products: DataFrame) -> Index:
-    """The index over a catalog's six fields; categories as one text."""
+def product_index(products: DataFrame, terms: DataFrame | None = None) -> Index:
+    """The index over a catalog's six fields, of all terms or of these alone; categories as one text."""
     columns = {f: X.joined(F.col(f)) if f == "categories" else F.col(f) for f in FIELDS}
-    return lexical.build_index(products, columns)
+    return lexical.build_index(products, columns, terms=terms)
 
 
 @dataclass

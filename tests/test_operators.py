@@ -42,6 +42,39 @@ def test_bm25_against_its_formula(spark):
     assert all(0 < r["score"] < 1e-5 for r in common.collect())
 
 
+def test_index_is_dealt_by_document(spark, monkeypatch):
+    """A task's tokens are bounded whatever the files, a document's postings lie together, and scores are summed there."""
+    monkeypatch.setattr(lexical, "TOKENS", 50)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("red ring w"), F.col("id")).alias("title"), F.when(F.col("id") % 3 == 0, "Red").alias("store")).coalesce(1)
+    index = lexical.build_index(docs, {"title": F.col("title"), "store": F.col("store")})
+    assert index.postings.rdd.getNumPartitions() == 1000 // 50
+    at = index.postings.select("doc_id", F.spark_partition_id().alias("at")).groupBy("doc_id").agg(F.countDistinct("at").alias("n"))
+    assert at.where("n > 1").count() == 0 and at.count() == 300
+    scores = lexical.bm25(index, spark.createDataFrame([(1, ["red", "w3"])], "query_id long, terms array<string>"))
+    assert scores.count() == 300 and "hashpartitioning(query_id" not in scores._jdf.queryExecution().executedPlan().toString()
+    known = {r["term"]: r["df"] for r in index.terms.where("term in ('red', 'w3')").collect()}
+    assert known == {"red": 300, "w3": 1} and index.postings.agg(F.sum("tf_title"), F.sum("tf_store")).first()[:] == (900, 100)
+
+
+def test_index_counts_odd_documents(spark):
+    """Documents without tokens or texts count in the corpus; rows of one id and length are one posting; only asked terms are kept."""
+    rows = [(1, "red red ring", None), (1, "ring blue", "gold"), (2, None, None), (3, "!?", ""), (4, "ring", "ring red")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, store string")
+    terms = spark.createDataFrame([("ring",), ("gold",), ("none",), ("ring",)], "term string")
+    index = lexical.build_index(docs, {"title": F.col("title"), "store": F.col("store")}, terms=terms)
+    assert sorted(tuple(r) for r in index.postings.select("term", "doc_id", "len", "tf_title", "tf_store").collect()) == [("gold", 1, 3, 0, 1), ("ring", 1, 3, 2, 0), ("ring", 4, 3, 1, 1)]
+    assert index.corpus.first()[:] == (5, 9 / 5) and {tuple(r) for r in index.terms.collect()} == {("ring", 2), ("gold", 1)}
+    none = lexical.build_index(docs.where("false"), {"title": F.col("title"), "store": F.col("store")})
+    assert none.corpus.first()[:] == (0, None) and none.postings.count() == 0
+
+
+def test_ranked_keeps_the_best_of_each_partition_first(spark):
+    scored = spark.range(1000).select((F.col("id") % 2).alias("query_id"), F.col("id").alias("doc_id"), (F.col("id") % 7).cast("double").alias("score"))
+    found = lexical.ranked(scored, 3)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["query_id"], r["rank"], r["doc_id"]) for r in found.orderBy("query_id", "rank").collect()] == [(0, 0, 6), (0, 1, 20), (0, 2, 34), (1, 0, 13), (1, 1, 27), (1, 2, 41)]
+
+
 def test_evidence_raises_field_weights(spark):
     table = sessions(spark, {}, {"slots": {"category": "shoes", "feature": "waterproof"}, "confidence": {"category": 0.9}})
     weights = lexical.field_weights(table)
