@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import tempfile
+from contextlib import nullcontext
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillsift.session import unbroadcast
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the cluster names, or on one machine one of its own.
@@ -34,6 +37,24 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of files up to which a table counts as small.
+SMALL = 2_000_000
+
+
+def gathered(df: DataFrame, wide: bool = False) -> DataFrame:
+    """settled(df), as one partition if it is small; wide: whether df reads tables that are not.
+
+    Steps that join and group such tables alone then are one stage, without shuffles or broadcasts, after each of which
+    the driver would plan all the rest again. A loop's many plans fill its memory.
+    """
+    spark = df.sparkSession
+    with nullcontext() if wide else unbroadcast(spark):
+        table = settled(df)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return table.coalesce(1) if size <= SMALL else table
+
+
 def forget(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes the files of settled tables that nothing reads any more."""
     for table in tables:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillsift.functions import text as X
 from quillsift.operators import clarify, compat, dense, fusion, lexical, rerank
 from quillsift.operators.lexical import Index
-from quillsift.plans.lineage import settled
+from quillsift.plans.lineage import gathered, settled
 from quillsift.session import plain_unions
 from quillsift.sources import config
 
@@ -32,8 +32,8 @@ class Engine:
     index: Index
     encoded: DataFrame | None = None
     settings: dict = field(default_factory=config.load)
-    #: Applied to what several later steps read: settled() where turns follow one another, else nothing.
-    keep: Callable[[DataFrame], DataFrame] = lambda df: df
+    #: Applied to what several later steps read: gathered() where turns follow one another, else nothing.
+    keep: Callable[..., DataFrame] | None = None
 
     #: A function of a prompt that names ids in a better order; none is shipped.
     model: Callable[[str], list[str] | None] | None = None
@@ -41,7 +41,14 @@ class Engine:
     def loop(self) -> Engine:
         """The same engine with all that every turn reads computed once."""
         index = Index(settled(self.index.postings), settled(self.index.terms), settled(self.index.corpus), self.index.fields)
-        return Engine(settled(self.products), index, self.encoded, self.settings, settled, self.model)
+        return Engine(settled(self.products), index, self.encoded, self.settings, gathered, self.model)
+
+    def kept(self, df: DataFrame, wide: bool = False) -> DataFrame:
+        return self.keep(df, wide) if self.keep else df
+
+    def near(self, found: DataFrame) -> DataFrame:
+        """The products that found names, as a table of their own where tables are kept; else all."""
+        return self.keep(self.products.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), wide=True) if self.keep else self.products
 
     def lexical(self, sessions: DataFrame) -> DataFrame:
         """Candidates by BM25 and, if set, by what the session knows."""
@@ -50,10 +57,12 @@ class Engine:
         dynamic = s["use_dynamic_attribute_scoring"]
         weights = lexical.field_weights(queries, s["field_weights"], s["dynamic_field_gain"]) if dynamic else s["field_weights"]
         k = s["retrieval_top_k"]
+        pool = self.kept(lexical.ranked(lexical.bm25(self.index, queries, weights), 3 * k), wide=True)
+        products = self.near(pool)
         if not dynamic:
-            return lexical.search(self.index, self.products, queries, weights, k)
-        found = lexical.search(self.index, self.products, queries, weights, k, keep=3 * k)
-        return compat.rescore(found, self.products, sessions, k, s["dynamic_attribute_max_weight"])
+            return lexical.fitting(pool, products, queries, k)
+        found = lexical.fitting(pool, products, queries, 3 * k)
+        return compat.rescore(found, products, sessions, k, s["dynamic_attribute_max_weight"])
 
     def retrieve(self, sessions: DataFrame) -> DataFrame:
         """query_id, doc_id, rank, score: lexical candidates, fused with dense ones where the gate opens.
@@ -62,7 +71,7 @@ class Engine:
         queries behind the gate meet the vectors.
         """
         plain_unions(sessions.sparkSession)
-        s, found = self.settings, self.keep(self.lexical(sessions))
+        s, found = self.settings, self.kept(self.lexical(sessions))
         if self.encoded is None or not s["use_dense"]:
             return found
         trust = fusion.confidence(found)
@@ -87,7 +96,7 @@ class Engine:
         weights = both.select("query_id", weight.alias("lexical_weight"), other.alias("dense_weight"))
         fused = fusion.fuse(found.join(weights.select("query_id"), "query_id", "left_semi"), near, weights, s["retrieval_top_k"], s["rrf_k"])
         rest = found.join(weights.select("query_id"), "query_id", "left_anti").select("query_id", "doc_id", "rank", "score")
-        return rest.unionByName(fused.select("query_id", "doc_id", "rank", "score"))
+        return self.kept(rest.unionByName(fused.select("query_id", "doc_id", "rank", "score")), wide=True)
 
     def turn(self, sessions: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame]:
         """(query_id, doc_id, rank, score) shown, and (query_id, ask), for one turn of all sessions.
@@ -95,25 +104,26 @@ class Engine:
         sessions: query_id, query, track, slots, confidence, slot_turns, negative, no_preference, asked, tags, turn. The
         question looks at all retrieved candidates, the ranking at the first of them.
         """
-        s, found = self.settings, self.keep(self.retrieve(sessions))
-        pool = found.join(self.products.select("doc_id", "attrs"), "doc_id").select("query_id", "doc_id", "attrs")
+        s, found = self.settings, self.retrieve(sessions)
+        products = self.near(found)
+        pool = found.join(products.select("doc_id", "attrs"), "doc_id").select("query_id", "doc_id", "attrs")
         asked = clarify.ask(sessions, pool, s["entropy_tau"], s["use_early_stop"], s["use_dynamic_entropy"], s["min_pool_for_dynamic"])
         if self.model is not None:
-            return self.by_model(found, sessions, top), asked
-        shown = self.local(found, sessions, top)
+            return self.by_model(found, products, sessions, top), asked
+        shown = self.local(found, products, sessions, top)
         return shown, asked
 
-    def local(self, found: DataFrame, sessions: DataFrame, top: int) -> DataFrame:
+    def local(self, found: DataFrame, products: DataFrame, sessions: DataFrame, top: int) -> DataFrame:
         s = self.settings
-        return rerank.rerank(found, self.products, sessions, s, top) if s["use_features"] else found.where(F.col("rank") < top).select("query_id", "doc_id", "rank", "score")
+        return rerank.rerank(found, products, sessions, s, top) if s["use_features"] else found.where(F.col("rank") < top).select("query_id", "doc_id", "rank", "score")
 
-    def by_model(self, found: DataFrame, sessions: DataFrame, top: int) -> DataFrame:
+    def by_model(self, found: DataFrame, products: DataFrame, sessions: DataFrame, top: int) -> DataFrame:
         """The first candidates, fewer while little is known, in the model's order; where it gives none, as local() ranks."""
         s = self.settings
         head = clarify.truncated(found, sessions, s["few_slots_threshold"], s["pool_size_threshold"], s["truncated_size"]).where(F.col("rank") < s["rerank_top_n"])
-        head = self.keep(head.select("query_id", "doc_id", "rank", "score"))
-        named = head.join(self.products.select("doc_id", "title120"), "doc_id").join(sessions.select("query_id", F.to_json("slots").alias("slots")), "query_id")
+        head = self.kept(head.select("query_id", "doc_id", "rank", "score"))
+        named = head.join(products.select("doc_id", "title120"), "doc_id").join(sessions.select("query_id", F.to_json("slots").alias("slots")), "query_id")
         line = lambda x: F.concat(x["doc_id"].cast("string"), F.lit(": "), F.substring(x["title120"], 1, 80))
         prompt = F.concat(F.lit("Known: "), F.first("slots"), F.lit("\nProducts:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "title120"))), line), "\n"))
-        fallback = lambda rest: self.local(rest.select("query_id", "doc_id", "rank", "score"), sessions, top)
+        fallback = lambda rest: self.local(rest.select("query_id", "doc_id", "rank", "score"), products, sessions, top)
         return rerank.model_order(named, prompt, self.model, top, fallback)

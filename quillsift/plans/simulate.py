@@ -13,13 +13,13 @@ from quillsift.functions import dialogue as D
 from quillsift.functions import vocabulary as V
 from quillsift.functions.session import close, new_state, step
 from quillsift.operators import metrics
-from quillsift.plans.lineage import forget, settled
+from quillsift.plans.lineage import forget, gathered, settled
 from quillsift.plans.search import Engine
 from quillsift.session import plain_unions
 
 SESSION = (
     "sample_id string, state string, query string, track string, slots map<string,string>, confidence map<string,double>, slot_turns map<string,int>, "
-    "negative map<string,array<string>>, no_preference array<string>, asked array<string>, turn int"
+    "negative map<string,array<string>>, no_preference array<string>, asked array<string>, turn int, tags array<string>"
 )
 
 
@@ -77,14 +77,14 @@ def step_all(rows: DataFrame, settings: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for sample, text, message in zip(batch["sample_id"], batch["state"], batch["message"], strict=True):
+            for sample, text, message, tags in zip(batch["sample_id"], batch["state"], batch["message"], batch["tags"], strict=True):
                 state = json.loads(text) if text else new_state()
                 done = step(state, message, *how)
                 kept = {k: dict(state[k]) for k in ("slots", "confidence", "slot_turns", "negative")}
-                out.append({"sample_id": sample, "state": json.dumps(state), "query": done["query"], "track": done["track"], **kept, "no_preference": state["no_preference"], "asked": state["asked"], "turn": done["turn"]})
-            yield pd.DataFrame(out, columns=["sample_id", "state", "query", "track", "slots", "confidence", "slot_turns", "negative", "no_preference", "asked", "turn"])
+                out.append({"sample_id": sample, "state": json.dumps(state), "query": done["query"], "track": done["track"], **kept, "no_preference": state["no_preference"], "asked": state["asked"], "turn": done["turn"], "tags": tags})
+            yield pd.DataFrame(out, columns=["sample_id", "state", "query", "track", "slots", "confidence", "slot_turns", "negative", "no_preference", "asked", "turn", "tags"])
 
-    return rows.select("sample_id", "state", "message").mapInPandas(run, SESSION)
+    return rows.select("sample_id", "state", "message", "tags").mapInPandas(run, SESSION)
 
 
 def close_all(rows: DataFrame) -> DataFrame:
@@ -110,13 +110,12 @@ def play(engine: Engine, samples: DataFrame, catalog: DataFrame, turns: int = me
     """
     plain_unions(samples.sparkSession)
     engine = engine.loop()
-    going = settled(shoppers(samples, catalog).withColumn("state", F.lit(None).cast("string")))
+    going = gathered(shoppers(samples, catalog).withColumn("state", F.lit(None).cast("string")), wide=True)
     shown_before = None
     for turn in range(1, turns + 1):
-        stepped = settled(step_all(going, engine.settings))
-        sessions = settled(stepped.join(going.select("sample_id", "tags"), "sample_id").withColumnRenamed("sample_id", "query_id"))
-        shown, asked = engine.turn(sessions, top)
-        shown = settled(shown.select(F.col("query_id").alias("sample_id"), F.lit(turn).alias("turn"), "doc_id", (F.col("rank") + 1).alias("rank")))
+        stepped = gathered(step_all(going, engine.settings))
+        shown, asked = engine.turn(stepped.withColumnRenamed("sample_id", "query_id"), top)
+        shown = gathered(shown.select(F.col("query_id").alias("sample_id"), F.lit(turn).alias("turn"), "doc_id", (F.col("rank") + 1).alias("rank")))
         shown_before = shown if shown_before is None else shown_before.unionByName(shown)
         if turn == turns:
             break
@@ -124,9 +123,9 @@ def play(engine: Engine, samples: DataFrame, catalog: DataFrame, turns: int = me
         first = shown.where("rank = 1").select("sample_id", F.col("doc_id").cast("string").alias("top"))
         kept = going.drop("state").join(hit, "sample_id", "left_anti").join(stepped.select("sample_id", "state"), "sample_id")
         kept = kept.join(asked.select(F.col("query_id").alias("sample_id"), "ask"), "sample_id", "left").join(first, "sample_id", "left")
-        kept = settled(reply(kept, turn))
-        before = going, stepped, sessions, kept
-        going = settled(kept.drop("state", "message", "ask", "top").withColumnRenamed("next", "message").join(close_all(kept), "sample_id"))
+        kept = gathered(reply(kept, turn))
+        before = going, stepped, kept
+        going = gathered(kept.drop("state", "message", "ask", "top").withColumnRenamed("next", "message").join(close_all(kept), "sample_id"))
         forget(going.sparkSession, *before)
         if going.isEmpty():
             break

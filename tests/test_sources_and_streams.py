@@ -150,6 +150,35 @@ def test_simulation_ends_at_hits(spark, lines):
     assert outcomes.where("hit").count() == 2 and summary.where("scenario_type = 'overall'").first()["hit_rate_at_10"] == 1.0
 
 
+def test_steps_over_small_tables_need_no_shuffle(spark, monkeypatch):
+    """Each shuffle or broadcast of a loop has the driver plan again; small tables that it keeps are one partition."""
+    from quillsift.plans import lineage
+
+    rows = lineage.gathered(spark.range(100).repartition(4).select("id", (F.col("id") % 7).alias("k")))
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == 100
+    joined = lineage.gathered(rows.groupBy("k").count()).join(rows, "k")
+    assert "Broadcast" in joined._jdf.queryExecution().executedPlan().toString()
+    plans = []
+    monkeypatch.setattr(lineage, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    lineage.gathered(rows.groupBy("k").count().join(rows, "k"))
+    assert "Exchange" not in plans[0] and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    monkeypatch.undo()
+    monkeypatch.setattr(lineage, "SMALL", 0)
+    assert lineage.gathered(spark.range(100).repartition(4)).count() == 100
+
+
+def test_tracks_are_filtered_without_a_union(spark):
+    from quillsift.operators import lexical
+
+    pool = spark.createDataFrame([(q, d, r, 2.0 - r) for q in (1, 2, 3) for r, d in enumerate("ab")], "query_id long, doc_id string, rank int, score double")
+    products = spark.createDataFrame([("a", ["Hats"], 90.0), ("b", ["Shoes"], 10.0)], "doc_id string, categories array<string>, price double")
+    queries = spark.createDataFrame([(1, "buying", {"category": "shoes", "budget": "50"}), (2, "browsing", {"category": "shoes", "budget": "50"}), (3, None, {})], "query_id long, track string, slots map<string,string>")
+    found = lexical.fitting(pool, products, queries, 5)
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in found.collect()) == [(1, "b", 0), (2, "a", 0), (2, "b", 1)]
+
+
 def test_simulated_sessions_play_ten_turns(spark, monkeypatch):
     """The registered query against a loop over its samples, with an engine that shows other parts in each turn."""
     from quillsift.operators import selection
